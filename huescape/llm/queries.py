@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import decontamination, mixing, pii, tokens
 
-_MODULES = {"op10_mix_sources": mixing}
+_MODULES = {"op3_tokens": tokens, "op4_decontaminate": decontamination, "op8_pii": pii, "op10_mix_sources": mixing}
 
 QUERIES = {name: m.query for name, m in _MODULES.items()}
 

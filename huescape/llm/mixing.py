@@ -13,13 +13,15 @@ chunks, and the one table that is sorted as a whole has a row for each source.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import hash32, md5_hex, stored, table
 
 WORD = r"[^\x20\x09-\x0D]+"
-BLOCK, SHARD, REPEATS, SEED, ROUNDS, CHUNK, BUCKET = 512, 1024, 3, "mix-1", 8, 4096, 4096
+BLOCK, SHARD, REPEATS, SEED, ROUNDS, CHUNK = 512, 1024, 3, "mix-1", 8, 4096
 
 
 def count_words(text: Column) -> Column:
@@ -80,7 +82,8 @@ class Mix:
         # The only pass over the texts. All the rest works on this narrow table.
         self.sizes = stored(sizes.withColumn("h", hash32(F.lit(seed), "doc_id")), "mix-sizes")
         rows = self.sizes.count()
-        buckets = 1 << max(0, (rows // BUCKET)).bit_length()
+        buckets = 1 << isqrt(rows).bit_length()  # as many buckets as rows in one, whatever the size
+        self._tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         bucket = (F.col("h") * buckets / 4294967296).cast("long")
         sums = self.sizes.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
         sums = stored(sums, "mix-buckets")
@@ -121,7 +124,7 @@ class Mix:
         s = s.withColumn("n", F.when(whole, F.col("blocks")).otherwise(F.greatest(F.col("blocks") - 1, F.lit(1))))
         s = s.withColumn("left", F.when(whole, F.lit(b) * F.col("blocks")).otherwise(F.col("rest")))
         s = s.withColumn("keys", _round_keys(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), F.col("pass"), seed=self.seed))
-        s = s.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(m - 1) div {CHUNK}")))).repartition("source", "pass", "chunk")
+        s = s.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(m - 1) div {CHUNK}")))).repartition(self._tasks, "source", "pass", "chunk")
         x = s.withColumn("x", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("m"), (F.col("chunk") + 1) * CHUNK) - 1)))
         last = F.col("blocks") - 1
         x = x.withColumn("block", F.when(F.col("x") < F.col("n"), _swap_or_not(F.col("x"), F.col("n"), F.col("keys"))).otherwise(last))
@@ -146,7 +149,8 @@ class Mix:
     def mixed(self) -> DataFrame:
         """The mix: shard, slot, pass, source, block, doc_id, size, skip, words (words skip .. skip + words of the document)."""
         p, s = self.pieces().alias("p"), self.slots.alias("s")
-        both = p.join(s, _same(F.col("p.source"), F.col("s.source")) & (F.col("p.block") == F.col("s.block")))
+        # The slots come from a few rows by way of sequences, so their estimated size says nothing: no broadcast.
+        both = p.join(s.hint("merge"), _same(F.col("p.source"), F.col("s.source")) & (F.col("p.block") == F.col("s.block")))
         words = F.least("hi", "words") - F.col("lo")
         return both.where(words > 0).select("shard", "slot", "pass", "p.source", "p.block", "doc_id", "size", "skip", words.alias("words"))
 

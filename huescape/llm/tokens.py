@@ -12,7 +12,9 @@ ids list<int>. A document's place in the whole corpus is the sum of the parts be
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +28,13 @@ TOKENIZER, END_ID = "byte_bpe_50k.json", 0
 #: Bytes: a row group, a page, a dictionary page.
 LAYOUT = {"parquet.block.size": str(16 << 20), "parquet.page.size": str(256 << 10), "parquet.dictionary.page.size": str(512 << 10), "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.page.row.count.limit": "5000", "compression": "zstd"}
 #: Distinct pieces of text that a worker keeps the ids of, and the longest that it keeps.
-CACHE, LONGEST = 250_000, 64
+CACHE, LONGEST = 500_000, 64
 #: Characters whose class no Unicode version has changed; texts with others are encoded as a whole.
-_PLAIN = r"[\t\n\r\x20-\x7e\xa1-ɏ]*"
+_OTHER = r"[^\t\n\r\x20-\x7e\xa1-\u024f]"
+#: Among these, the letters and the numbers.
+_L, _N = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+#: How a byte-level BPE splits a text before it encodes each piece by itself.
+_PIECES = rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+"
 _FILE = "part int, seq long, doc_id long, first long, n_tokens int, ids array<int>"
 
 
@@ -38,31 +44,34 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.plain, self.split, self.cache = regex.compile(_PLAIN), regex.compile(public_tokenizers.PATTERN).findall, {}
+        self.other, self.split, self.cache = re.compile(_OTHER).search, re.compile(_PIECES).findall, {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        if not self.plain.fullmatch(text):
-            return self._whole([text])[0]
-        cache, parts = self.cache, self.split(text)
-        try:
-            return b"".join(map(cache.__getitem__, parts))
-        except KeyError:
-            new = list({p for p in parts if p not in cache})
-            more = dict(zip(new, self._whole(new), strict=True))
-            got = b"".join([cache.get(p) or more[p] for p in parts])
-            if len(cache) < CACHE:
-                cache.update((p, b) for p, b in more.items() if len(p) <= LONGEST)
-            return got
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        out = [b""] * len(texts)
+        odd = [i for i, t in enumerate(texts) if self.other(t)]
+        for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
+            out[i] = ids
+        plain = sorted(set(range(len(texts))).difference(odd))
+        parts = [self.split(texts[i]) for i in plain]
+        new = list(set().union(*parts).difference(self.cache.keys()))
+        more = dict(zip(new, self._whole(new), strict=True))
+        if len(self.cache) < CACHE:
+            self.cache.update((p, b) for p, b in more.items() if len(p) <= LONGEST)
+        get = self.cache.__getitem__
+        for i, p in zip(plain, parts, strict=True):
+            try:
+                out[i] = b"".join(map(get, p))
+            except KeyError:
+                out[i] = b"".join([self.cache.get(x) or more[x] for x in p])
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -90,7 +99,7 @@ def _encode(path: str, end_id: int):
         for whole in batches:
             for at in range(0, whole.num_rows, 256):  # bounds what is held besides Arrow's own batch
                 batch = whole.slice(at, 256)
-                rows = [enc.encode(t.as_py() or "") + end for t in batch.column("text")]
+                rows = [ids + end for ids in enc.encode([t or "" for t in batch.column("text").to_pylist()])]
                 n = np.fromiter((len(r) // 4 for r in rows), np.int64, len(rows))
                 ends = np.cumsum(n)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), "<i4")))
@@ -112,14 +121,24 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     ranged.mapInArrow(_encode(tokenizer or _tokenizer_path(), end_id), _FILE).write.options(**LAYOUT).parquet(path)
 
 
-def token_table(spark: SparkSession, path: str) -> DataFrame:
-    """The files as a table: doc_id, start (ids of all documents before it), n_tokens, ids. Leaving a column unselected
-    leaves its pages unread; the running total needs a row for each part alone."""
-    files = spark.read.schema(_FILE).parquet(path)
+def token_files(spark: SparkSession, path: str) -> DataFrame:
+    """The files as a table of _FILE. Columns left unselected and row groups ruled out by a filter stay unread."""
+    return spark.read.schema(_FILE).parquet(path)
+
+
+def placed(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (part, first and more, made from files) + start: ids of all documents before. The running total has a row for
+    each file alone, and counts are all that is read for it."""
     sums = files.groupBy("part").agg(F.sum(F.col("n_tokens").cast("long")).alias("sum"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("part", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
-    return files.join(bases, "part").select("doc_id", (F.col("base") + F.col("first")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "ids")
+    return rows.join(bases, "part").withColumn("start", F.col("base") + F.col("first")).drop("base")
+
+
+def token_table(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids."""
+    files = token_files(spark, path)
+    return placed(files, files).select("doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"), "ids")
 
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,21 +147,22 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         off, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
         raw = memoryview(np.ascontiguousarray(flat)).cast("B")
         crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(off[:-1], off[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        n = pa.array(np.diff(off).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "first", "doc_id")), n, pa.array(crc, pa.int64())], ["part", "first", "doc_id", "n_tokens", "ids_crc32"])
 
 
-def checksums(tokens: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers) of a token_table."""
-    return tokens.mapInArrow(_checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
-
-
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = work_path(spark, "tokens")
-    write_tokens(table(spark, sf_dir, "documents"), path)
-    return checksums(token_table(spark, path))
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), read from the files."""
+    files = token_files(spark, path)
+    sums = files.select("part", "first", "doc_id", "ids").mapInArrow(_checksums, "part int, first long, doc_id long, n_tokens long, ids_crc32 long")
+    return placed(files, sums).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def stage(docs: DataFrame) -> DataFrame:
     path = work_path(docs.sparkSession, "tokens")
     write_tokens(docs, path)
-    return checksums(token_table(docs.sparkSession, path))
+    return checksums(docs.sparkSession, path)
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(table(spark, sf_dir, "documents"))

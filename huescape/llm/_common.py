@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -70,3 +71,8 @@ def md5_hex(*cols) -> F.col:
 def hash32(*cols):
     """The first 32 bits of md5_hex, as a long from 0 to 2^32 - 1."""
     return F.conv(F.substring(md5_hex(*cols), 1, 8), 16, 10).cast("long")
+
+
+def widened(df: DataFrame, ddl: str) -> T.StructType:
+    """df's schema with more fields at its end."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])

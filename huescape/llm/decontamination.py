@@ -18,9 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ._common import table, without
+from ._common import table, widened, without
 from ._words import ALNUM, Words, mix, pieces, utf8
 
 WINDOW, BLOCK_WORDS = 13, 2_000_000
@@ -206,7 +205,7 @@ def merge_intervals(hits):
 def _pass(docs: DataFrame, index: Index) -> DataFrame:
     spark, columns = docs.sparkSession, docs.columns
     shared = spark.sparkContext.broadcast(index)  # at most block_words words' windows
-    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(_FOUND).fields])
+    schema = widened(docs, _FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

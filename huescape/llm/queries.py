@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, pii, tokens
+import corpus_pipeline
 
-_MODULES = {"op3_tokens": tokens, "op4_decontaminate": decontamination, "op8_pii": pii, "op10_mix_sources": mixing}
+from . import chat, decontamination, embeddings, mixing, near_duplicates, pii, quality, tokens, toxicity, warc
 
-QUERIES = {name: m.query for name, m in _MODULES.items()}
+_MODULES = {
+    "op1_chat_format": chat,
+    "op2_toxicity": toxicity,
+    "op3_tokens": tokens,
+    "op4_decontaminate": decontamination,
+    "op5_near_vectors": embeddings,
+    "op6_warc": warc,
+    "op7_quality": quality,
+    "op8_pii": pii,
+    "op9_near_duplicates": near_duplicates,
+    "op10_mix_sources": mixing,
+}
+
+QUERIES = {name: m.query for name, m in _MODULES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -76,3 +76,11 @@ def hash32(*cols):
 def widened(df: DataFrame, ddl: str) -> T.StructType:
     """df's schema with more fields at its end."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
+    """doc_id, text, label of the documents of at most `sample` labels: the first by hash of their ids. Ids and labels of
+    the sample, a few bytes a row, are what is broadcast; texts stay where they are."""
+    rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", label)
+    rows = rows.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", label).limit(sample)
+    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")

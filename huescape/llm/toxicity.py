@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table, widened, without
+from ._common import labelled, stored, table, widened, without
 from ._linear import Sparse, fit_sparse, sigmoid
 from ._words import ALNUM, _P, Words, _pow, mix, pieces, utf8
 
 #: Labelled rows that the model is fitted on, at most: the first by hash of their ids.
-SAMPLE, PREFIXES, MOST, LEAST_ROWS, LEAST_Z, FAIRNESS, L2, THRESHOLD = 12_000, (4, 5, 6, 7, 8, 10), 3, 3, 4.0, 10.0, 0.3, 0.3
+#: FEATURES: of the model, at most.
+SAMPLE, FEATURES, PREFIXES, MOST, LEAST_ROWS, LEAST_Z, FAIRNESS, L2, THRESHOLD = 12_000, 20_000, (4, 5, 6, 7, 8, 10), 3, 2, 2.5, 10.0, 0.3, 0.3
 #: Terms of one row stand for groups of one kind.
 IDENTITIES = (
     ("women", "men"), ("woman", "man"), ("girl", "boy"), ("gay", "straight", "lesbian", "transgender"),
@@ -92,23 +93,36 @@ def features(data: np.ndarray, off: np.ndarray, known: np.ndarray | None = None,
     return np.concatenate(rows), np.concatenate(found)
 
 
-_TRAIN = "toxic int, plain binary, swapped binary"
+def _one(text: str, known: np.ndarray | None = None, marks: np.ndarray | None = None) -> np.ndarray:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return features(raw, np.array([0, len(raw)]), known, marks)[1]
 
 
-def _train_rows(identities):
-    def one(text: str | None) -> bytes | None:
-        if text is None:
-            return None
-        raw = np.frombuffer(text.encode(), np.uint8)
-        return features(raw, np.array([0, len(raw)]))[1].tobytes()
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """f, n, pos: rows and rows of label 1 with a feature, summed for some rows at a time before they leave the worker."""
+    for batch in batches:
+        data, off = utf8(batch.column("text"))
+        y = batch.column("toxic").to_numpy(zero_copy_only=False)
+        for i, j in pieces(off, 8 << 20):
+            row, f = features(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            known, back, n = np.unique(f, return_inverse=True, return_counts=True)
+            pos = np.bincount(back, y[i:j][row], len(known)).astype(np.int64) if len(f) else n
+            yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(pos)], ["f", "n", "pos"])
+
+
+_TRAIN = "toxic int, plain binary, swapped binary"
 
+
+def _train_rows(known: np.ndarray, identities):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = _marks(known)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                texts = [t.as_py() or "" for t in part.column("text")]
-                rows = [(one(t), one(swap_terms(t, identities))) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column("toxic").cast(pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["toxic", "plain", "swapped"])
+            rows = []
+            for t in batch.column("text"):
+                text = t.as_py() or ""
+                swapped = swap_terms(text, identities)
+                rows.append((_one(text, known, marks).tobytes(), None if swapped is None else _one(swapped, known, marks).tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1))], ["toxic", "plain", "swapped"])
 
     return run
 
@@ -129,32 +143,28 @@ class Model:
         return float(self.scores(raw, np.array([0, len(raw)]))[0])
 
 
-def fit_model(labelled: DataFrame, sample: int = SAMPLE, identities=IDENTITIES, fairness: float = FAIRNESS) -> Model:
-    """labelled: doc_id, text, toxic. Rows of null label are left out; null text is empty. Without rows of both labels
-    the model has no features and says the rate of the label (0.5 without any rows)."""
-    rows = labelled.where("toxic is not null").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(sample)
-    got = rows.select("text", "toxic").mapInArrow(_train_rows(identities), _TRAIN).collect()
-    y = np.array([r["toxic"] for r in got], float)
-    plain = [np.frombuffer(r["plain"], np.uint64) for r in got]
-    if not len(y) or y.min() == y.max():
-        p = (y.sum() + 1) / (len(y) + 2)
+def fit_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, identities=IDENTITIES, fairness: float = FAIRNESS) -> Model:
+    """docs: doc_id, text. labels: doc_id, toxic (1 or 0; rows of null are left out). Null text is empty. Without rows of
+    both labels the model has no features and says the rate of the label (0.5 without any rows)."""
+    rows = stored(labelled(docs, labels, "toxic", sample), "toxic-sample")
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.col("toxic").cast("long")).alias("pos")).first()
+    n, n1 = size["n"], size["pos"] or 0
+    if not 0 < n1 < n:
+        p = (n1 + 1) / (n + 2)
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(p / (1 - p))))
     # Features that tell the labels apart: by the difference of their rates in standard errors.
+    c = rows.mapInArrow(_count, "f long, n long, pos long").groupBy("f").agg(F.sum("n").alias("c"), F.sum("pos").alias("c1")).where(F.col("c") >= LEAST_ROWS)
+    p = F.col("c") / n
+    z = (F.col("c1") / n1 - (F.col("c") - F.col("c1")) / (n - n1)) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / n1 + 1 / (n - n1)))
+    best = c.withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "f").limit(FEATURES).select("f").toPandas()
+    known = np.sort(best["f"].to_numpy(np.int64).view(np.uint64))
+    got = rows.mapInArrow(_train_rows(known, identities), _TRAIN).collect()
+    y = np.array([r["toxic"] for r in got], float)
+    plain = [np.frombuffer(r["plain"], np.uint64) for r in got]
     where = np.repeat(np.arange(len(plain)), [len(p) for p in plain])
-    known, column = np.unique(np.concatenate(plain), return_inverse=True)
-    n1, n0 = y.sum(), len(y) - y.sum()
-    c1 = np.bincount(column, y[where], len(known))
-    c = np.bincount(column, minlength=len(known))
-    p = c / len(y)
-    z = (c1 / n1 - (c - c1) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    good = np.flatnonzero((c >= LEAST_ROWS) & (np.abs(z) >= LEAST_Z))
-    place = np.full(len(known), -1)
-    place[good] = np.arange(len(good))
-    ok = place[column] >= 0
-    x = Sparse(where[ok], place[column][ok], np.ones(int(ok.sum())), (len(y), len(good)))
-    known = known[good]
-    pairs = _differences(plain, [r["swapped"] for r in got], known)
-    w, b = fit_sparse(x, y, pairs, L2, fairness)
+    column = np.searchsorted(known, np.concatenate(plain))
+    x = Sparse(where, column, np.ones(len(where)), (len(y), len(known)))
+    w, b = fit_sparse(x, y, _differences(plain, [r["swapped"] for r in got], known), L2, fairness)
     return Model(known, w, b)
 
 
@@ -201,6 +211,6 @@ def held_out(doc_id):
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     seen = labels.where(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
-    model = fit_model(docs.join(seen, "doc_id"))
+    model = fit_model(docs, seen)
     scored = score(docs, model)
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")

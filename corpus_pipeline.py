@@ -10,7 +10,7 @@ from huescape.llm._common import stored, table
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps; it is fitted on labelled rows of this stage's own input."""
-    model = quality.fit_model(quality.labelled(docs, table(spark, sf_dir, "labels")))
+    model = quality.fit_model(docs, table(spark, sf_dir, "labels"))
     return quality.classify(docs, model).where("kept").select(docs.columns)
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import stored, table, widened, without
+from ._common import labelled, stored, table, widened, without
 from ._linear import fit_dense
 from ._words import NOT_SPACE, Words, pieces, utf8
 
@@ -80,11 +80,10 @@ def _measure_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column("quality").slice(i, j - i).cast(pa.int32()), flat], ["quality", "x"])
 
 
-def fit_model(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """labelled: doc_id, text, quality (1 good, 0 bad; rows of null are left out). Without both labels the model has no
-    weights and gives the label's rate."""
-    rows = labelled.where("quality is not null").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(sample)
-    got = rows.select("text", "quality").mapInArrow(_measure_rows, "quality int, x array<double>").toPandas()
+def fit_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """docs: doc_id, text. labels: doc_id, quality (1 good, 0 bad; rows of null are left out). Without both labels the
+    model has no weights and gives the label's rate."""
+    got = labelled(docs, labels, "quality", sample).select("text", "quality").mapInArrow(_measure_rows, "quality int, x array<double>").toPandas()
     y = got["quality"].to_numpy(float)
     k = len(MEASURES)
     rate = (y.sum() + 1) / (len(y) + 2)
@@ -159,11 +158,7 @@ def classify(docs: DataFrame, model: Model, host: Column | None = None, path: Co
     return out.select(*[F.col(f"d.`{c}`") for c in docs.columns], "score", "host_rate", "path_rate").withColumn("kept", F.col("score") >= threshold)
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").join(labels.select("doc_id", "quality"), "doc_id")
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit_model(labelled(docs, table(spark, sf_dir, "labels")))
+    model = fit_model(docs, table(spark, sf_dir, "labels"))
     return classify(docs, model).select("doc_id", "score", "host_rate", "path_rate", "kept")

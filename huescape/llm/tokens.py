@@ -11,10 +11,7 @@ ids list<int>. A document's place in the whole corpus is the sum of the parts be
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,63 +20,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import table, work_path
+from ._pieces import Pieces
+from ._words import pieces, utf8
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 0
 #: Bytes: a row group, a page, a dictionary page.
 LAYOUT = {"parquet.block.size": str(16 << 20), "parquet.page.size": str(256 << 10), "parquet.dictionary.page.size": str(512 << 10), "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.page.row.count.limit": "5000", "compression": "zstd"}
-#: Distinct pieces of text that a worker keeps the ids of, and the longest that it keeps.
-CACHE, LONGEST = 500_000, 64
-#: Characters whose class no Unicode version has changed; texts with others are encoded as a whole.
-_OTHER = r"[^\t\n\r\x20-\x7e\xa1-\u024f]"
-#: Among these, the letters and the numbers.
-_L, _N = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
-#: How a byte-level BPE splits a text before it encodes each piece by itself.
-_PIECES = rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+"
 _FILE = "part int, seq long, doc_id long, first long, n_tokens int, ids array<int>"
 
 
-class Encoder:
-    """Encodes with a byte-level BPE of the tokenizers library. Such a tokenizer splits text by a fixed expression and
-    encodes each piece by itself, so the ids of frequent pieces are kept (as bytes) and looked up."""
+_encoders: dict[str, Pieces] = {}
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.other, self.split, self.cache = re.compile(_OTHER).search, re.compile(_PIECES).findall, {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        out = [b""] * len(texts)
-        odd = [i for i, t in enumerate(texts) if self.other(t)]
-        for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        plain = sorted(set(range(len(texts))).difference(odd))
-        parts = [self.split(texts[i]) for i in plain]
-        new = list(set().union(*parts).difference(self.cache.keys()))
-        more = dict(zip(new, self._whole(new), strict=True))
-        if len(self.cache) < CACHE:
-            self.cache.update((p, b) for p, b in more.items() if len(p) <= LONGEST)
-        get = self.cache.__getitem__
-        for i, p in zip(plain, parts, strict=True):
-            try:
-                out[i] = b"".join(map(get, p))
-            except KeyError:
-                out[i] = b"".join([self.cache.get(x) or more[x] for x in p])
-        return out
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
+def encoder(path: str) -> Pieces:
+    """A worker's encoder; it lasts as long as the worker."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Pieces(path)
     return _encoders[path]
 
 
@@ -90,21 +46,20 @@ def _tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def _encode(path: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, seq, first, enc = TaskContext.get().partitionId(), 0, 0, encoder(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):  # bounds what is held besides Arrow's own batch
-                batch = whole.slice(at, 256)
-                rows = [ids + end for ids in enc.encode([t or "" for t in batch.column("text").to_pylist()])]
-                n = np.fromiter((len(r) // 4 for r in rows), np.int64, len(rows))
+        for batch in batches:
+            data, off = utf8(batch.column("text"))
+            for i, j in pieces(off):
+                ids, row = enc.encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                n = np.diff(row) + 1
                 ends = np.cumsum(n)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), "<i4")))
+                every = np.insert(ids, row[1:], end_id).view(np.int32)
+                column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(every))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(seq, seq + len(n))), batch.column("doc_id").cast(pa.int64()), pa.array(first + ends - n), pa.array(n.astype(np.int32)), ids],
+                    [pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(seq, seq + len(n))), batch.column("doc_id").slice(i, j - i).cast(pa.int64()), pa.array(first + ends - n), pa.array(n.astype(np.int32)), column],
                     ["part", "seq", "doc_id", "first", "n_tokens", "ids"],
                 )
                 seq, first = seq + len(n), first + int(ends[-1])

@@ -7,8 +7,10 @@ five values left out. A pair of similarity 0.85 has a distance over 25 with a pr
 
 Documents with equal sets are one class from the start. Within a key's bucket nothing is paired with everything: first
 each class is held against the least class of the bucket. What is confirmed on full sets makes components. Then only
-buckets that still hold several components are searched, in blocks, for pairs across components whose signatures are
-near; these are confirmed on full sets too. A link inside one component can't change the result, so none is lost.
+buckets that still hold several components matter. Those that share components make groups; a group's classes meet in
+blocks of bounded size, blocks of one and the same component never. In a block pair, candidates across components (by
+signature distance) are confirmed on full sets, nearest first, unless links found before have joined them: it emits a
+forest of links, never pairs. A link inside a component can't change the result, so none is lost.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from .components import components
 
 SHINGLE, PERCENT = 3, 85
 CHUNKS, VALUES, BITS, DISTANCE = 13, 5, 12, 25
-#: Rows of a bucket that one step of the search across components holds against as many others.
+#: Classes of a group that one step of the search across components holds against as many others.
 BLOCK = 512
 _A = mix(np.arange(1, CHUNKS * VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _X = mix(np.arange(1001, CHUNKS * VALUES + 1001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -111,11 +113,7 @@ def _confirm(percent: int):
         for batch in batches:
             good = []
             for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                good.append(100 * common >= percent * (len(x) + len(y) - common))
+                good.append(_linked(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), percent))
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("u", "v")], ["u", "v"])
 
@@ -128,47 +126,98 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = CHUNKS * VALUES
         flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
         at = np.repeat(np.arange(len(keys)), each)
-        yield pa.RecordBatch.from_arrays([flat, *(batch.column(c).take(pa.array(at)) for c in ("id", "n"))], ["key", "id", "n"])
+        yield pa.RecordBatch.from_arrays([flat, batch.column("id").take(pa.array(at))], ["key", "id"])
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
 def _across(distance: int, percent: int):
-    """Rows of a (key, block pair) lie together: emits pairs of different components whose signatures are near."""
+    """Rows of a (grp, i, j) lie together: emits links that join different components."""
 
-    def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def links(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows)
-        side, own, comp, n = (t.column(c).to_numpy() for c in ("side", "id", "comp", "n"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.int16).reshape(len(own), -1)
-        left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
-        us, vs = [], []
-        for i in left.tolist():
-            ok = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            ok = ok[(sig[ok] != sig[i]).sum(axis=1) <= distance]
-            us.append(np.minimum(own[ok], own[i]))
-            vs.append(np.maximum(own[ok], own[i]))
-        u, v = np.concatenate(us or [np.zeros(0, np.int64)]), np.concatenate(vs or [np.zeros(0, np.int64)])
-        both = np.unique(np.stack([u, v], axis=1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].astype(np.int64)), pa.array(both[:, 1].astype(np.int64))], ["u", "v"])
+        side, own, comp = (t.column(c).to_numpy() for c in ("side", "id", "comp"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")]
+        sig, n = np.stack([signature(x) for x in sets]), np.array([len(x) for x in sets])
+        found = []
+        right = np.flatnonzero(side >= 0)
+        for i in np.flatnonzero(side <= 0).tolist():
+            ok = right[comp[right] != comp[i]]
+            ok = ok[100 * np.minimum(n[ok], n[i]) >= percent * np.maximum(n[ok], n[i])]
+            far = (sig[ok] != sig[i]).sum(axis=1)
+            ok, far = ok[far <= distance], far[far <= distance]
+            found.append(np.stack([far, np.full(len(ok), i), ok], axis=1))
+        pairs = np.concatenate(found) if found else np.zeros((0, 3), int)
+        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        parent = {c: c for c in comp.tolist()}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        out = []
+        for _, i, j in pairs.tolist():
+            a, b = root(int(comp[i])), root(int(comp[j]))
+            if a != b and _linked(sets[i], sets[j], percent):
+                parent[b] = a
+                out.append((int(own[i]), int(own[j])))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            group = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
-            cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1).tolist(), len(group)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
+            group = list(zip(*(batch.column(c).to_pylist() for c in ("grp", "i", "j")), strict=True))
+            at = 0
+            for end in range(1, len(group) + 1):
+                if end < len(group) and group[end] == group[at]:
                     continue
-                this = tuple(group[a].tolist())
-                if now is not None and this != now:
-                    yield pairs(held)
+                if held and group[at] != now:
+                    yield links(held)
                     held = []
-                now = this
-                held.append(batch.slice(a, b - a))
+                now = group[at]
+                held.append(batch.slice(at, end - at))
+                at = end
         if held:
-            yield pairs(held)
+            yield links(held)
 
     return run
 
 
+def _search_across(shared: DataFrame, labels: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (u, v) between different components of buckets that hold several. shared: key, id; labels: u, v."""
+    placed = shared.join(labels, F.col("id") == F.col("u"), "left").select("key", "id", F.coalesce("v", "id").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key", "c0")
+    open_rows = stored(placed.join(mixed, "key").select("id", "comp", "c0").distinct(), "near-open")
+    groups = components(open_rows.select(F.col("comp").alias("u"), F.col("c0").alias("v")))
+    rows = open_rows.select("id", "comp").distinct().join(groups, F.col("comp") == F.col("u"), "left").select("id", "comp", F.coalesce("v", "comp").alias("grp"))
+    rows = stored(rows, "near-grouped")
+    # Blocks: parts of a large component ("pure"), or small components put together.
+    sizes = rows.groupBy("grp", "comp").agg(F.count("*").alias("size"))
+    small = sizes.where(F.col("size") <= BLOCK).groupBy("grp").agg(F.ceil(F.sum("size") / BLOCK).cast("long").alias("lots"))
+    of = sizes.join(small, "grp", "left")
+    r = rows.join(of.drop("grp"), "comp")
+    large = F.col("size") > BLOCK
+    part = F.when(large, F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK).cast("long"))).otherwise(F.pmod(F.xxhash64("comp"), F.coalesce("lots", F.lit(1))))
+    r = stored(r.select("id", "comp", "grp", F.when(large, F.col("comp")).alias("pure"), part.alias("part")), "near-blocks")
+    blocks = r.groupBy("grp").agg(F.collect_set(F.struct("pure", "part")).alias("blocks"))  # a row for BLOCK classes
+    sets = docs.select(F.col("doc_id").alias("id"), "text").join(r.select("id"), "id", "left_semi").mapInArrow(_set_rows(shingle), "id long, set binary")
+    met = r.join(sets, "id").join(blocks, "grp")
+    others = F.filter("blocks", lambda b: F.col("pure").isNull() | b["pure"].isNull() | (b["pure"] != F.col("pure")))
+    met = met.select("id", "comp", "grp", "set", F.concat_ws("-", "pure", "part").alias("own"), F.explode(others).alias("b"))
+    met = met.withColumn("other", F.concat_ws("-", "b.pure", "b.part"))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1)
+    met = met.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "id", "comp", "set")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(tasks, "grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_across(DISTANCE, percent), "u long, v long")
+
+
 def _by_set(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Of pairs (u, v) of ids, those that are linked. Sets are made anew for the ids that occur."""
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
@@ -188,28 +237,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(docs.mapInArrow(_features(shingle), "doc_id long, n long, f1 long, f2 long, sig binary"), "near-rows")
     usable = rows.where("n > 0 and doc_id is not null")
-    classes = stored(usable.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last"), F.first("sig").alias("sig")), "near-classes")
-    keys = stored(classes.select("id", "n", "sig").mapInArrow(_keys, "key long, id long, n long"), "near-keys")
+    classes = stored(usable.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "near-classes")
+    keys = stored(classes.select("id", "sig").mapInArrow(_keys, "key long, id long"), "near-keys")
+    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("most")).where("hub <> most").select("key", "hub")
+    shared = stored(keys.join(hubs, "key"), "near-shared")
 
-    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("most"), F.count("*").alias("size")).where("hub <> most")
-    star = keys.join(hubs.select("key", "hub"), "key").where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
-    near = _near_enough(star, classes, percent)
-    links = stored(_by_set(near, docs, shingle, percent), "near-links")
+    star = shared.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
+    links = stored(_by_set(_near_enough(star, classes, percent), docs, shingle, percent), "near-links")
     labels = stored(components(links), "near-labels")
-
-    # Second round: buckets with several components. Blocks of a large bucket meet each other in tasks of their own.
-    named = classes.select("id", "n", "sig").join(labels, F.col("id") == F.col("u"), "left").select("id", "n", "sig", F.coalesce("v", "id").alias("comp"))
-    placed = keys.select("key", "id").join(named.select("id", "comp"), "id")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 <> c1").select("key", "size")
-    open_rows = keys.select("key", "id").join(mixed, "key").join(named, "id")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    spread = open_rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1).alias("side"), "id", "comp", "n", "sig")
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = spread.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(DISTANCE, percent), "u long, v long")
-    more = _by_set(stored(found.distinct(), "near-across"), docs, shingle, percent)
-    links = links.unionByName(more)
+    more = _search_across(shared.select("key", "id"), labels, docs, shingle, percent)
+    links = stored(links.unionByName(more), "near-all-links")
 
     # Classes of equal sets, and rows that share a doc_id across classes, by edges to the class.
     shared = usable.groupBy("doc_id").agg(F.count_distinct("f1", "f2", "n").alias("sets")).where("sets > 1").select("doc_id")

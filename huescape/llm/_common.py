@@ -84,3 +84,14 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> Dat
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", label)
     rows = rows.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", label).limit(sample)
     return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+
+
+def likely(df: DataFrame, column: str, keys: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """Rows of df whose column may be among keys (a column of the same name): all that are, and few more as long as there
+    are far fewer keys than bits. What is broadcast has at most bits / 64 rows however many keys there are; with too many
+    of them the filter just lets everything through. For use ahead of an exact join, to shuffle less."""
+    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    word, bit = (place / 64).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    filled = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    there = df.withColumn("_word", word).join(F.broadcast(filled), "_word")
+    return there.where(F.col("_bits").bitwiseAND(bit) != 0).select(df.columns)

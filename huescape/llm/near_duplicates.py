@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Stored, stored, table, without
+from ._common import Stored, likely, stored, table
 from ._words import NOT_SPACE, Words, mix, pieces, utf8
 from .components import components
 
@@ -206,9 +206,9 @@ def _search_across(shared: DataFrame, labels: DataFrame, docs: DataFrame, shingl
     large = F.col("size") > BLOCK
     part = F.when(large, F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK).cast("long"))).otherwise(F.pmod(F.xxhash64("comp"), F.coalesce("lots", F.lit(1))))
     r = stored(r.select("id", "comp", "grp", F.when(large, F.col("comp")).alias("pure"), part.alias("part")), "near-blocks")
-    blocks = r.groupBy("grp").agg(F.collect_set(F.struct("pure", "part")).alias("blocks"))  # a row for BLOCK classes
-    sets = docs.select(F.col("doc_id").alias("id"), "text").join(r.select("id"), "id", "left_semi").mapInArrow(_set_rows(shingle), "id long, set binary")
-    met = r.join(sets, "id").join(blocks, "grp")
+    # An entry for BLOCK classes. Stored, so that the join below is of two plain tables, which Spark can split by skew.
+    blocks = stored(r.groupBy("grp").agg(F.collect_set(F.struct("pure", "part")).alias("blocks")), "near-block-lists")
+    met = r.join(_sets_of(docs, r.select("id").distinct(), shingle), "id").join(blocks, "grp")
     others = F.filter("blocks", lambda b: F.col("pure").isNull() | b["pure"].isNull() | (b["pure"] != F.col("pure")))
     met = met.select("id", "comp", "grp", "set", F.concat_ws("-", "pure", "part").alias("own"), F.explode(others).alias("b"))
     met = met.withColumn("other", F.concat_ws("-", "b.pure", "b.part"))
@@ -218,11 +218,16 @@ def _search_across(shared: DataFrame, labels: DataFrame, docs: DataFrame, shingl
     return met.repartition(tasks, "grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_across(DISTANCE, percent), "u long, v long")
 
 
+def _sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """id, set of the documents of these ids (column id), made anew from their texts."""
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    return likely(texts, "id", ids).join(ids, "id", "left_semi").mapInArrow(_set_rows(n), "id long, set binary")
+
+
 def _by_set(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Of pairs (u, v) of ids, those that are linked. Sets are made anew for the ids that occur."""
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
-    sets = stored(texts.mapInArrow(_set_rows(n), "id long, set binary"), "sets")
+    sets = stored(_sets_of(docs, ids, n), "near-sets")
     one, two = sets.select(F.col("id").alias("u"), F.col("set").alias("a")), sets.select(F.col("id").alias("v"), F.col("set").alias("b"))
     return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(_confirm(percent), "u long, v long")
 
@@ -238,9 +243,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     rows = stored(docs.mapInArrow(_features(shingle), "doc_id long, n long, f1 long, f2 long, sig binary"), "near-rows")
     usable = rows.where("n > 0 and doc_id is not null")
     classes = stored(usable.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "near-classes")
-    keys = stored(classes.select("id", "sig").mapInArrow(_keys, "key long, id long"), "near-keys")
-    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("most")).where("hub <> most").select("key", "hub")
-    shared = stored(keys.join(hubs, "key"), "near-shared")
+    keys = Stored(classes.select("id", "sig").mapInArrow(_keys, "key long, id long"), "near-keys")
+    hubs = keys.df.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("most")).where("hub <> most").select("key", "hub")
+    hubs = stored(hubs, "near-hubs")
+    shared = stored(likely(keys.df, "key", hubs).join(hubs, "key"), "near-shared")
+    keys.drop()
 
     star = shared.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
     links = stored(_by_set(_near_enough(star, classes, percent), docs, shingle, percent), "near-links")

@@ -2,56 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or (local runs only) a temporary one.
-
-    A master that isn't local has no business with a temporary folder of the driver, so that is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    base = os.path.join(tempfile.gettempdir(), f"huescape-{spark.sparkContext.applicationId}")
-    spark.conf.set("spark.checkpoint.dir", f"file://{base}")
-    return f"file://{base}"
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A path of its own for one materialised table or set of files."""
-    return f"{shared_dir(spark)}/huescape/{name}-{uuid.uuid4().hex}"
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a table that nothing will read again."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-class Stored:
-    """A table written to the shared folder: cuts lineage, survives lost executors, can be dropped early."""
-
-    def __init__(self, df: DataFrame, name: str, **options: str):
-        self.spark, self.path = df.sparkSession, work_path(df.sparkSession, name)
-        df.write.options(**options).parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        discard(self.spark, self.path)
-
-
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    return Stored(df, name, **options).df
+from ..store import Stored, discard, shared_dir, stored, work_path  # noqa: F401
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -48,7 +48,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def pieces(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of whole rows of about `most` bytes (a longer row stands alone), which bounds the arrays made from them."""
     i, n = 0, len(offsets) - 1
     while i < n:

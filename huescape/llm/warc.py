@@ -201,6 +201,9 @@ def read_archives(index: DataFrame, folder: str, payloads: bool = False) -> Data
     """Every record of the bundles that the index names: a frame is a task's unit, read once. payloads: with `payload`
     (binary, empty for revisits)."""
     frames = index.select("bundle", "frame_at", "frame_size").distinct()
+    # The list of frames is short whatever they hold, so Spark would put it into few tasks: they are dealt out by number.
+    tasks = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), frames.count() // 64)
+    frames = frames.repartition(tasks, "bundle", "frame_at").sortWithinPartitions("bundle", "frame_at")
     return frames.mapInArrow(_read(folder, payloads), _READ + ", payload binary" * payloads)
 
 

@@ -29,7 +29,7 @@ from .components import components
 SHINGLE, PERCENT = 3, 85
 CHUNKS, VALUES, BITS, DISTANCE = 13, 5, 12, 25
 #: Classes of a group that one step of the search across components holds against as many others.
-BLOCK = 512
+BLOCK = 256
 _A = mix(np.arange(1, CHUNKS * VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _X = mix(np.arange(1001, CHUNKS * VALUES + 1001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -219,9 +219,11 @@ def _search_across(shared: DataFrame, labels: DataFrame, docs: DataFrame, shingl
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """id, set of the documents of these ids (column id), made anew from their texts."""
+    """id, set of the documents of these ids (column id, distinct), made anew from their texts.
+
+    An inner join: the optimizer would move a semi-join ahead of the filter that is there to shuffle less."""
     texts = docs.select(F.col("doc_id").alias("id"), "text")
-    return likely(texts, "id", ids).join(ids, "id", "left_semi").mapInArrow(_set_rows(n), "id long, set binary")
+    return likely(texts, "id", ids).join(ids, "id").mapInArrow(_set_rows(n), "id long, set binary")
 
 
 def _by_set(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:

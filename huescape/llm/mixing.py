@@ -174,11 +174,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     to those words (white space before each kept), n_chars following. Rows that share doc_id and size share their fate."""
     m = Mix(docs, **options)
     spans = m.mixed().groupBy("doc_id", "source", "size", "pass").agg(F.sum("words").alias("take"), F.array_sort(F.collect_list(F.struct("skip", "words"))).alias("spans")).alias("m")
-    d = docs.withColumn("_size", count_words(F.col("text"))).alias("d")
-    both = d.join(spans, _same(F.col("d.doc_id"), F.col("m.doc_id")) & _same(F.col("d.source"), F.col("m.source")) & (F.col("d._size") == F.col("m.size")))
+    own = "__mix_size"  # docs may have columns of any of the names here
+    d = docs.withColumn(own, count_words(F.col("text"))).alias("d")
+    both = d.join(spans, _same(F.col("d.doc_id"), F.col("m.doc_id")) & _same(F.col("d.source"), F.col("m.source")) & (F.col(f"d.{own}") == F.col("m.size")))
     word = F.regexp_extract_all(F.col("d.text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(word, (s["skip"] + 1).cast("int"), s["words"].cast("int")))), "")
-    text = F.when(F.col("take") >= F.col("size"), F.col("d.text")).otherwise(cut)
+    cut = F.array_join(F.flatten(F.transform("m.spans", lambda s: F.slice(word, (s["skip"] + 1).cast("int"), s["words"].cast("int")))), "")
+    text = F.when(F.col("m.take") >= F.col("m.size"), F.col("d.text")).otherwise(cut)
     rows = both.select(*[F.col(f"d.`{c}`") for c in docs.columns if c != "text"], text.alias("text"))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast("long"))

@@ -22,6 +22,8 @@ from ._words import NOT_SPACE, Words, pieces, utf8
 
 #: Labelled rows that the model is fitted on, at most: the first by hash of their ids. Kept: posterior of at least THRESHOLD.
 SAMPLE, THRESHOLD, L2 = 20_000, 0.5, 1.0
+#: Rates of so many paths are broadcast at most.
+SITES = 20_000
 #: Pseudo-documents that a prior counts for, at least and at most.
 LEAST, MOST = 1.0, 1e6
 MEASURES = ("words", "mean_length", "upper", "symbols", "symbol_ends", "bars", "digits", "repeats", "distinct", "letters")
@@ -148,7 +150,9 @@ def classify(docs: DataFrame, model: Model, host: Column | None = None, path: Co
     host = host_of(F.col("source")) if host is None else host
     path = F.to_json(F.struct("source", "lang")) if path is None else path
     judged = evidence(docs, model)
-    rates = site_rates(evidence(docs.select("text", host.alias("_host"), path.alias("_path")), model).drop("text"))
+    rates = stored(site_rates(evidence(docs.select("text", host.alias("_host"), path.alias("_path")), model).drop("text")), "site-rates")
+    if rates.limit(SITES + 1).count() <= SITES:
+        rates = F.broadcast(rates)  # few enough: texts stay where they are. Otherwise Spark joins by shuffle.
     d, r = judged.withColumn("_host", host).withColumn("_path", path).alias("d"), rates.alias("r")
     both = d.join(r, F.col("d._host").eqNullSafe(F.col("r._host")) & F.col("d._path").eqNullSafe(F.col("r._path")), "left")
     base = float(np.log(model.rate / (1 - model.rate)))

@@ -58,7 +58,7 @@ _LONGS = {"gradients", "family_span", "nbrs", "stops", "chain", "members"}
 
 
 #: Relations that rest on many others, so what these share is stored.
-DEEP = {"flow_edges", "flow_lists", "seed_scores", "flow_chains", "deduped_chains", "gradients", "gradient_membership", "family_span", "significance", "selected", "notable_colors", "contrast_pairs", "harmonic_pairs", "distribution", "summary", "prose", "html"}
+DEEP = {"family_members", "families", "neighbour_metrics", "color_metrics", "flow_edges", "flow_lists", "seed_scores", "flow_chains", "deduped_chains", "gradients", "gradient_membership", "family_span", "significance", "selected", "notable_colors", "contrast_pairs", "harmonic_pairs", "distribution", "summary", "prose", "html"}
 
 
 def _query(relation: str, columns: str) -> Callable[[SparkSession, str], DataFrame]:

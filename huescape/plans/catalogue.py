@@ -122,4 +122,4 @@ def oracle_sql() -> dict[str, str]:
     out = {name: sql(_select(columns, relation)) for name, (_, columns, relation) in TABLES.items()}
     names = ", ".join(f"({i}, '{n}', {r}, {g}, {b})" for i, (n, r, g, b) in enumerate(css_names()))
     out["name_table"] = f"SELECT idx::BIGINT AS idx, name, r::BIGINT AS r, g::BIGINT AS g, b::BIGINT AS b FROM (VALUES {names}) t(idx, name, r, g, b)"
-    return out | {"color_functions": _functions_sql()}
+    return out | {"color_functions": _functions_sql(), "prose_report": sql("SELECT image_id, report FROM prose")}

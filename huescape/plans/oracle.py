@@ -209,6 +209,31 @@ CTES = {
 }
 
 
+_NL = "chr(10)"
+_F1 = lambda v: f"printf('%.1f', round_even({v}, 1))"
+_LAB3 = f"{_F0('lab_l')} || ', ' || {_F0('lab_a')} || ', ' || {_F0('lab_b')}"
+_RGB3 = "r || ', ' || g || ', ' || b"
+CTES |= {
+    "pcol": f"""SELECT image_id, string_agg('[' || upper(role[1]) || role[2:] || '] ' || name || {_NL} || '  Hex: ' || hex || ' | RGB: (' || {_RGB3} || ') | LAB: (' || {_LAB3} || ')' || {_NL}
+        || '  Coverage: ' || CASE WHEN coverage * 100 >= 0.1e0 THEN {_F1('coverage * 100')} || '%' ELSE '<0.1%' END || ' | Chroma: ' || {_F0('chroma')} || {_NL}
+        || CASE WHEN len(characteristics) > 0 THEN '  ' || array_to_string(characteristics, '. ') || '.' || {_NL} ELSE '' END, {_NL} ORDER BY pos) AS t FROM nc GROUP BY image_id""",
+    "pst0": "SELECT gr.image_id, gradient_idx, unnest(stops) AS coarse, unnest(range(len(stops))) AS i FROM gr",
+    "pst": f"""SELECT p.image_id, gradient_idx, string_agg(name, ' → ' ORDER BY i) AS names, string_agg('    ' || (i + 1) || '. ' || name || ' ' || hex || ' / RGB(' || {_RGB3} || ') / LAB(' || {_LAB3} || ')', {_NL} ORDER BY i) AS t
+        FROM pst0 p JOIN cb ON cb.image_id = p.image_id AND cb.coarse = p.coarse JOIN named USING (lab_l, lab_a, lab_b) GROUP BY p.image_id, gradient_idx""",
+    "pgr": f"""SELECT image_id, string_agg(names || {_NL} || '  Stops:' || {_NL} || t || {_NL} || '  Direction: ' || direction || ' | Coverage: ' || {_F1('coverage * 100')} || '%' || {_NL}
+        || '  Lightness span: ' || {_F0('l_hi * 2.3e0 - l_lo * 2.3e0')} || ' (L ' || {_F0('l_lo * 2.3e0')} || ' → ' || {_F0('l_hi * 2.3e0')} || ')' || {_NL}, {_NL} ORDER BY gradient_idx) AS t FROM gr JOIN pst USING (image_id, gradient_idx) GROUP BY image_id""",
+    "pcp": f"SELECT image_id, string_agg('  - ' || color_a || ' / ' || color_b || ': Ratio ' || {_F1('ratio')} || ':1 (WCAG ' || wcag_level || ') | ΔL=' || {_F0('delta_l')}, {_NL} ORDER BY pair) AS t FROM cp GROUP BY image_id",
+    "php": f"SELECT image_id, string_agg('  - ' || color_a || ' and ' || color_b || ': Similar hue (' || {_F0('hue_difference')} || '° apart)', {_NL} ORDER BY pair) AS t FROM hp GROUP BY image_id",
+    "prose": f"""SELECT s.image_id, array_to_string(list_filter(['OVERVIEW:', 'The palette''s scheme, from its hues, and how far lightness (L) and chroma reach.', '', 'Scheme: ' || scheme_type, '  ' || scheme_description,
+        'Lightness range: ' || {_F0('l_min')} || '-' || {_F0('l_max')} || ' | Chroma range: ' || {_F0('chroma_min')} || '-' || {_F0('chroma_max')}, 'Notable colors: ' || n_colors, 'Distribution: ' || distribution, '',
+        'COLORS:', 'By prominence: dominant, secondary, dark and light, then accents.', '', pcol.t,
+        'GRADIENTS:' || {_NL} || 'Smooth transitions between colors, with the axis along which they run.' || {_NL} || {_NL} || pgr.t,
+        'RELATIONSHIPS:', 'Contrast by WCAG (AAA from 7:1, AA from 4.5:1, AA-large from 3:1); harmony by hue.', '',
+        'Contrast pairs (high separation):' || {_NL} || pcp.t || {_NL}, 'Harmonic pairs (similar hue):' || {_NL} || php.t], lambda x: x IS NOT NULL), {_NL}) AS report
+        FROM summ s LEFT JOIN pcol USING (image_id) LEFT JOIN pgr USING (image_id) LEFT JOIN pcp USING (image_id) LEFT JOIN php USING (image_id)""",
+}
+
+
 _KEPT = {"ford", "redges", "fl", "seed", "chains", "sord"}
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ._common import table, widened, without
 from ._words import ALNUM, Words, mix, pieces, utf8
 
-WINDOW, BLOCK_WORDS = 13, 2_000_000
+WINDOW, BLOCK_WORDS = 13, 200_000
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
 _FOUND = "n_words long, hits array<struct<lo:int,hi:int>>, items array<string>"
 

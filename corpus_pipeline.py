@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from huescape.llm import decontamination, mixing, near_duplicates, quality, tokens
-from huescape.llm._common import stored, table
+from huescape.llm._common import small_batches, stored, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,11 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tokens.stage(docs)
 
 
-STAGES = [("quality", keep_good), ("near duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("mixing", mix), ("tokens", tokenize)]
+def _small(stage):
+    return lambda spark, docs, sf_dir: stage(small_batches(spark), docs, sf_dir)
+
+
+STAGES = [(name, _small(stage)) for name, stage in (("quality", keep_good), ("near duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("mixing", mix), ("tokens", tokenize))]
 
 #: Learned models and tokenizers are beyond SQL. tests/llm holds each stage against a brute-force version.
 ORACLE_SQL = None

@@ -9,6 +9,15 @@ from pyspark.sql import types as T
 from ..store import Stored, discard, shared_dir, stored, work_path  # noqa: F401
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session, its Arrow batches set to at most 8 MB: operators stream, so a Python worker need never hold more."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark.conf.get(key).lower().removesuffix("b")
+    if not size.isdigit() or int(size) > 8 << 20:
+        spark.conf.set(key, str(8 << 20))
+    return spark
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns of these names, so that the operator's own results take their place."""
     return df.drop(*[c for c in df.columns if c in names])

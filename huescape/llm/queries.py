@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 
 from . import chat, decontamination, embeddings, mixing, near_duplicates, pii, quality, tokens, toxicity, warc
+from ._common import small_batches
 
 _MODULES = {
     "op1_chat_format": chat,
@@ -19,7 +20,13 @@ _MODULES = {
     "op10_mix_sources": mixing,
 }
 
-QUERIES = {name: m.query for name, m in _MODULES.items()} | {"pipeline": corpus_pipeline.run}
+
+
+def _small(run):
+    return lambda spark, sf_dir: run(small_batches(spark), sf_dir)
+
+
+QUERIES = {name: _small(m.query) for name, m in _MODULES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

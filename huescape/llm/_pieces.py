@@ -2,7 +2,8 @@
 
 Such a tokenizer splits a text by a fixed expression (contractions; letters, numbers or other characters with one blank
 before; white space) and encodes each piece by itself. Here the split is made by NumPy over UTF-8 bytes, pieces are
-hashed to 64 bits, and the ids of known hashes are copied from a table; new pieces go to the tokenizers library.
+looked up by a hash of 64 bits, and the ids of known pieces are copied from a table, which also holds each piece's bytes:
+a piece counts as known if its bytes are the same. Other pieces go to the tokenizers library.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from array import array
 
 import numpy as np
 
-from ._words import _P, _P_INV, _pow, mix
+from ._words import byte_numbers, same_bytes, sums, with_length
 
 _L, _N, _S, _O = 1, 2, 4, 8
 _KIND = np.full(256, _O, np.uint8)
@@ -77,17 +78,19 @@ def split(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class Pieces:
-    """Ids of texts, with a table of pieces that grows to at most `most` entries."""
+    """Ids of texts, with a table of pieces that grows to at most `most` entries of at most `longest` bytes."""
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 1_200_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.most, self.held, self.bits = most, 0, 16
-        self.keys, self.place = np.zeros(1 << self.bits, np.uint64), np.zeros((1 << self.bits, 2), np.int32)
-        self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.most, self.longest, self.held, self.bits = most, longest, 0, 16
+        self.keys, self.entry = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        #: Of each entry: where its ids begin, how many, where its bytes begin, how many.
+        self.entries = np.zeros((1 << 15, 4), np.int32)
+        self.ids, self.used, self.raw, self.filled = np.zeros(1 << 18, np.uint32), 0, np.zeros(1 << 18, np.uint8), 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -109,14 +112,15 @@ class Pieces:
             slot[left] = (slot[left] + 1) & int(mask)
         return out
 
-    def _put(self, h: np.ndarray, place: np.ndarray) -> None:
+    def _put(self, h: np.ndarray, entry: np.ndarray) -> None:
+        """Entries under new hashes, all different."""
         if (self.held + len(h)) * 2 > len(self.keys):
             live = self.keys != 0
-            keys, places = self.keys[live], self.place[live]
+            keys, entries = self.keys[live], self.entry[live]
             while (self.held + len(h)) * 2 > 1 << self.bits:
                 self.bits += 1
-            self.keys, self.place, self.held = np.zeros(1 << self.bits, np.uint64), np.zeros((1 << self.bits, 2), np.int32), 0
-            self._put(keys, places)
+            self.keys, self.entry, self.held = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32), 0
+            self._put(keys, entries)
         mask = (1 << self.bits) - 1
         slot = (h & np.uint64(mask)).astype(np.int64)
         left = np.arange(len(h))
@@ -124,49 +128,81 @@ class Pieces:
             free = left[self.keys[slot[left]] == 0]
             self.keys[slot[free]] = h[free]  # of several for one slot the last stays
             won = free[self.keys[slot[free]] == h[free]]
-            self.place[slot[won]] = place[won]
+            self.entry[slot[won]] = entry[won]
             done = np.zeros(len(h), bool)
             done[won] = True
             left = left[~done[left]]
             slot[left] = (slot[left] + 1) & mask
         self.held += len(h)
 
+    def _known(self, h: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Entries of pieces, -1 for those that are not in the table with these very bytes."""
+        slot = self._find(h)
+        out = np.where(slot >= 0, self.entry[slot], -1)
+        at = np.flatnonzero(out >= 0)
+        at = at[self.entries[out[at], 3] == size[at]]
+        at = at[same_bytes(data, begin[at], self.raw, self.entries[out[at], 2], size[at])]
+        known = np.full(len(h), -1)
+        known[at] = out[at]
+        return known
+
+    def _learn(self, h: np.ndarray, ids: np.ndarray, count: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        """Puts pieces with hashes that the table has not, as far as there is room."""
+        fit = np.flatnonzero((self._find(h) < 0) & (size <= self.longest))[: max(0, self.most - self.held)]
+        if not len(fit):
+            return
+        start = np.cumsum(count) - count
+        count, size = count[fit], size[fit]
+        mine = np.repeat(start[fit] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        text = np.repeat(begin[fit] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        entry = np.stack([self.used + np.cumsum(count) - count, count, self.filled + np.cumsum(size) - size, size], axis=1)
+
+        def room(x: np.ndarray, have: int, more: int) -> np.ndarray:
+            return x if have + more <= len(x) else np.concatenate([x, np.zeros((max(more, len(x)), *x.shape[1:]), x.dtype)])
+
+        self.ids, self.raw, self.entries = room(self.ids, self.used, len(mine)), room(self.raw, self.filled, len(text)), room(self.entries, self.held, len(fit))
+        self.ids[self.used : self.used + len(mine)], self.raw[self.filled : self.filled + len(text)] = ids[mine], data[text]
+        self.entries[self.held : self.held + len(fit)] = entry
+        self.used, self.filled = self.used + len(mine), self.filled + len(text)
+        self._put(h[fit], np.arange(self.held, self.held + len(fit), dtype=np.int32))
+
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows (uint32) and each row's offsets in them."""
         odd = odd_rows(data, off)
         if odd.any():
             return self._with_odd(data, off, odd)
         begin = split(data, off)
-        end = np.append(begin[1:], len(data)) if len(begin) else begin
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _pow("p", _P, len(data)), out=total[1:])
-        h = (total[end] - total[begin]) * _pow("i", _P_INV, len(data))[begin]
-        h = mix(h + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
-        slot = self._find(h)
-        start, size, extra = np.empty(len(h), np.int64), np.empty(len(h), np.int64), self.ids
-        miss = np.flatnonzero(slot < 0)
+        size = np.diff(np.append(begin, len(data))) if len(begin) else begin
+        total = sums(byte_numbers(data, begin))
+        h = self.hash(total, begin, size)
+        entry = self._known(h, data, begin, size)
+        known, miss = np.flatnonzero(entry >= 0), np.flatnonzero(entry < 0)
+        start, count = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
+        start[known], count[known] = self.entries[entry[known], 0], self.entries[entry[known], 1]
+        source = self.ids
         if len(miss):
-            new, one, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            raw = self.whole([data[begin[i] : end[i]].tobytes().decode() for i in miss[one].tolist()])
-            sizes = np.fromiter((len(r) // 4 for r in raw), np.int64, len(raw))
-            flat, ends = np.frombuffer(b"".join(raw), np.uint32), np.cumsum(sizes)
-            place = np.stack([self.used + ends - sizes, sizes], axis=1)
-            if self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids[: self.used], flat, np.zeros(max(len(flat), self.used), np.uint32)])
-            else:
-                self.ids[self.used : self.used + len(flat)] = flat
-            if self.held + len(new) <= self.most:
-                self._put(new, place.astype(np.int32))
-                self.used += len(flat)
-            start[miss], size[miss] = place[back, 0], place[back, 1]
-        known = np.flatnonzero(slot >= 0)
-        if len(miss) and len(known):
-            slot[known] = self._find(h[known])  # the table may have grown
-        start[known], size[known] = self.place[slot[known], 0], self.place[slot[known], 1]
-        ends = np.cumsum(size)
-        take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+            # One of each hash, and those of other bytes than that one.
+            _, one, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            first = miss[one]
+            like = first[back]
+            alone = size[like] != size[miss]
+            alone[~alone] = ~same_bytes(data, begin[miss[~alone]], data, begin[like[~alone]], size[miss[~alone]])
+            raw = self.whole([data[begin[i] : begin[i] + size[i]].tobytes().decode() for i in [*first.tolist(), *miss[alone].tolist()]])
+            counts = np.fromiter((len(r) // 4 for r in raw), np.int64, len(raw))
+            fresh, places = np.frombuffer(b"".join(raw), np.uint32), np.cumsum(counts) - counts
+            back[alone] = len(first) + np.arange(int(alone.sum()))
+            start[miss], count[miss] = self.used + places[back], counts[back]
+            source = np.concatenate([self.ids[: self.used], fresh])
+            self._learn(h[first], fresh, counts[: len(first)], data, begin[first], size[first])
+        ends = np.cumsum(count)
+        take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - count), count)
         row = np.concatenate([[0], ends])[np.searchsorted(begin, off)]
-        return self.ids[take], row
+        return source[take], row
+
+    @staticmethod
+    def hash(total: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A hash for each piece, never 0."""
+        return with_length(total[begin + size] - total[begin], size) | np.uint64(1)
 
     def _with_odd(self, data: np.ndarray, off: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         length = np.diff(off)

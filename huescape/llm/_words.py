@@ -17,21 +17,6 @@ ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = True
 ALNUM[0x80:] = True
 
-_P, _P_INV = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _pow(name: str, base: int, n: int) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 20), base, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if n <= 8 << 20:
-            _powers[name] = have
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits under which similar inputs become unrelated outputs."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -39,6 +24,55 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Places in a word whose bytes have their numbers in a table; later places have them worked out.
+_PLACES = 64
+_LANE = np.uint64(0xA0761D6478BD642F)
+_tables: list[np.ndarray] = []
+
+
+def byte_numbers(data: np.ndarray, starts: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A pseudorandom number for each byte and its place after the last of `starts` (ascending). Sums of them tell words
+    apart whatever their letters' pattern is: unlike powers of a base modulo 2^64, the numbers follow no rule that a
+    pattern could cancel. Lane 1 has numbers made from neighbouring bytes, which have no sums in common with lane 0."""
+    if not _tables:
+        _tables.append(mix(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    n = len(data)
+    cuts = np.concatenate([[0], starts])
+    place = np.arange(n, dtype=np.int64) - np.repeat(cuts, np.diff(np.append(cuts, n)))
+    x = _tables[0][(np.minimum(place, _PLACES - 1) << 8) | data]
+    far = np.flatnonzero(place >= _PLACES)
+    if len(far):
+        x[far] = mix((place[far].astype(np.uint64) * np.uint64(256) + data[far] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    if lane:
+        before = np.zeros(n, np.uint64)
+        before[1:] = x[:-1]
+        before[starts] = 0
+        x = mix(x ^ (before * _LANE))
+    return x
+
+
+def sums(x: np.ndarray) -> np.ndarray:
+    """x's running sums modulo 2^64, from 0 on."""
+    total = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x, out=total[1:])
+    return total
+
+
+def with_length(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return mix(h + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the stretches a[a_at : a_at + size] and b[b_at : b_at + size] are equal, each pair by itself."""
+    out, ends = np.ones(len(size), bool), np.cumsum(size)
+    if len(size) and ends[-1]:
+        step = np.arange(ends[-1]) - np.repeat(ends - size, size)
+        wrong = a[np.repeat(a_at, size) + step] != b[np.repeat(b_at, size) + step]
+        if wrong.any():
+            out[np.searchsorted(ends, np.flatnonzero(wrong), side="right")] = False
+    return out
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and each row's offsets in them; null counts as empty."""
     column = column.cast(pa.large_string()).fill_null("")
@@ -73,13 +107,14 @@ class Words:
         self.starts, self.ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.starts, offsets)
 
-    def hashes(self) -> np.ndarray:
-        """64 bits for each word: a polynomial of its bytes by prefix sums, mixed with its length."""
-        n = len(self.low)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.low.astype(np.uint64) + np.uint64(1)) * _pow("p", _P, n), out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * _pow("i", _P_INV, n)[self.starts] if n else total[:0]
-        return mix(h + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    def sums(self, lane: int = 0) -> np.ndarray:
+        """Running sums of the bytes' numbers: those of a word, or of its beginning, are a difference of two."""
+        return sums(byte_numbers(self.low, self.starts, lane))
+
+    def hashes(self, lane: int = 0) -> np.ndarray:
+        """64 bits for each word. Two lanes have nothing in common, so both together are 128 bits."""
+        total = self.sums(lane)
+        return with_length(total[self.ends] - total[self.starts], self.ends - self.starts)
 
     def word(self, i: int, n: int = 1) -> bytes:
         """n words from the i-th, with one blank between."""

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ._common import labelled, stored, table, widened, without
 from ._linear import Sparse, fit_sparse, sigmoid
-from ._words import ALNUM, _P, Words, _pow, mix, pieces, utf8
+from ._words import ALNUM, Words, mix, pieces, utf8, with_length
 
 #: Labelled rows that the model is fitted on, at most: the first by hash of their ids.
 #: FEATURES: of the model, at most.
@@ -62,7 +62,8 @@ def features(data: np.ndarray, off: np.ndarray, known: np.ndarray | None = None,
     """(row, feature) of every distinct feature of each row; with known (sorted), of those alone."""
     words = Words(data, off, ALNUM)
     row = np.repeat(np.arange(len(off) - 1), np.diff(words.first))
-    h = words.hashes()
+    total = words.sums()
+    h = with_length(total[words.ends] - total[words.starts], words.ends - words.starts)
     rows, found = [], []
     if not len(h):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -77,13 +78,10 @@ def features(data: np.ndarray, off: np.ndarray, known: np.ndarray | None = None,
         found.append(f)
 
     keep(row, mix(h + np.uint64(1)))
-    total = np.zeros(len(words.low) + 1, np.uint64)
-    np.cumsum((words.low.astype(np.uint64) + np.uint64(1)) * _pow("p", _P, len(words.low)), out=total[1:])
-    inverse = _pow("i", pow(_P, -1, 1 << 64), len(words.low))
     for n in PREFIXES:
         at = np.flatnonzero(size > n)
         begin = starts[at]
-        p = mix((total[begin + n] - total[begin]) * inverse[begin] + np.uint64(n * 1000003))
+        p = mix(total[begin + n] - total[begin] + np.uint64(n * 1000003))
         r = row[at]
         _, one, count = np.unique(mix(p ^ mix(r.astype(np.uint64) + np.uint64(99))), return_index=True, return_counts=True)
         for times in range(1, MOST + 1):

@@ -453,3 +453,41 @@ def test_mix_odd_rows(spark):
     assert mixing.mix_sources(docs(spark, *ODD).limit(0)).count() == 0
     assert mixing.mix_sources(docs(spark, (1, None, "a"), (2, "", None))).where("taken <> 0 or target <> 0").count() == 0
     assert mixing.mixed_documents(docs(spark, *ODD)).columns == docs(spark, *ODD).columns
+
+
+# hashes
+
+
+def thue_morse(n):
+    t = [0]
+    while len(t) < n:
+        t += [1 - x for x in t]
+    return "".join("ab"[x] for x in t[:n]), "".join("ba"[x] for x in t[:n])
+
+
+@pytest.mark.parametrize("n", [64, 1024, 2048])
+def test_patterned_words_stay_apart(spark, n):
+    texts = [*thue_morse(n), *("".join(p) for p in zip(*thue_morse(n), strict=True)), "a" * n, "b" * n, "ab" * (n // 2), "ba" * (n // 2)]
+    data, off = utf8(pa.array(texts))
+    for lane in (0, 1):
+        h = Words(data, off, NOT_SPACE).hashes(lane)
+        assert len(set(h.tolist())) == len(set(texts))
+    d = docs(spark, *[(i, t, "s") for i, t in enumerate(texts)])
+    path = work_path(spark, "test-tokens")
+    tokens.write_tokens(d, path)
+    enc = tokens.encoder(tokens._tokenizer_path()).tokenizer
+    assert {r.doc_id: r.ids for r in tokens.token_table(spark, path).collect()} == {i: [*enc.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(d).collect()}
+    assert got == brute_near(list(enumerate(texts)), 5, 80)
+
+
+def test_pieces_of_one_hash_stay_apart(monkeypatch):
+    """Even if all pieces of a length had the same hash."""
+    monkeypatch.setattr(_pieces.Pieces, "hash", staticmethod(lambda total, begin, size: size.astype(np.uint64) | np.uint64(1)))
+    p, rnd = _pieces.Pieces(tokens._tokenizer_path()), random.Random(12)
+    for _ in range(5):
+        texts = [" ".join("".join(rnd.choices("abcdé", k=rnd.randint(1, 6))) for _ in range(20)) for _ in range(20)]
+        data, off = utf8(pa.array(texts))
+        ids, row = p.encode(data, off)
+        for t, a, b in zip(texts, row[:-1], row[1:], strict=True):
+            assert p.tokenizer.encode(t, add_special_tokens=False).ids == ids[a:b].tolist()

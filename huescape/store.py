@@ -1,13 +1,23 @@
-"""Tables written to the folder that driver and executors share: they cut lineage and survive lost executors."""
+"""Tables written to the folder that driver and executors share: they cut lineage and survive lost executors.
+
+A table made inside a scope (`scope()`, or a function under `tidy`) is deleted when the scope ends, unless the plan that
+comes out of it reads the table; then it belongs to the scope around, if there is one. What is left when the driver ends
+is deleted with the application's folder.
+"""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,23 +36,95 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{base}"
 
 
+_folders: set[str] = set()
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A path of its own for one table or set of files."""
-    return f"{shared_dir(spark)}/huescape/{name}-{uuid.uuid4().hex}"
+    """A path of its own for one table or set of files, in the application's folder, which goes when the driver ends."""
+    folder = f"{shared_dir(spark)}/huescape-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_at_exit, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def _at_exit(spark: SparkSession, folder: str) -> None:
+    if SparkContext._gateway is not None:
+        with contextlib.suppress(Exception):  # the JVM may have ended first
+            discard(spark, folder)
 
 
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a table that nothing will read again."""
-    jvm = spark.sparkContext._jvm
+    jvm = SparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    conf = spark.sparkContext._jsc.hadoopConfiguration() if spark.sparkContext._jsc else jvm.org.apache.hadoop.conf.Configuration()
+    p.getFileSystem(conf).delete(p, True)
+
+
+def roots(df: DataFrame) -> set[str]:
+    """Names (last parts of paths) of the folders that a plan reads."""
+    leaves, found = df._jdf.queryExecution().analyzed().collectLeaves(), set()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            paths = leaf.relation().location().rootPaths()
+            found |= {paths.apply(j).getName() for j in range(paths.size())}
+    return found
+
+
+_scopes = threading.local()
+
+
+def _made() -> list[list[Stored]]:
+    if not hasattr(_scopes, "stack"):
+        _scopes.stack = []
+    return _scopes.stack
+
+
+class Scope:
+    """Tables made since it began. keep(df): leave alone what df reads."""
+
+    def __init__(self):
+        self.names: set[str] = set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.names |= roots(df)
+        return df
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[Scope]:
+    mine, stack = Scope(), _made()
+    stack.append([])
+    try:
+        yield mine
+    finally:
+        made = stack.pop()
+        for t in made:
+            if t.path.rsplit("/", 1)[1] not in mine.names:
+                t.drop()
+            elif stack:
+                stack[-1].append(t)
+
+
+def tidy(make: Callable) -> Callable:
+    """make in a scope of its own; of the tables written on the way, those that its resulting DataFrame reads stay."""
+
+    @wraps(make)
+    def run(*args, **kwargs):
+        with scope() as s:
+            out = make(*args, **kwargs)
+            return s.keep(out) if isinstance(out, DataFrame) else out
+
+    return run
 
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 class Stored:
-    """A table written to the shared folder, and its path, to drop it early."""
+    """A table written to the shared folder, and its path, to drop it before its scope ends."""
 
     def __init__(self, df: DataFrame, name: str, **options: str):
         self.spark, self.path = df.sparkSession, work_path(df.sparkSession, name)
@@ -52,10 +134,14 @@ class Stored:
             df.write.options(**options).parquet(self.path)
         finally:
             self.spark.conf.set(_BATCH, before)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        self.df, self.dropped = self.spark.read.schema(df.schema).parquet(self.path), False
+        if _made():
+            _made()[-1].append(self)
 
     def drop(self) -> None:
-        discard(self.spark, self.path)
+        if not self.dropped:
+            self.dropped = True
+            discard(self.spark, self.path)
 
 
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..store import Stored, discard, shared_dir, stored, work_path  # noqa: F401
+from ..store import Stored, discard, scope, shared_dir, stored, tidy, work_path  # noqa: F401
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
@@ -59,3 +59,15 @@ def likely(df: DataFrame, column: str, keys: DataFrame, bits: int = 1 << 23) ->
     filled = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
     there = df.withColumn("_word", word).join(F.broadcast(filled), "_word")
     return there.where(F.col("_bits").bitwiseAND(bit) != 0).select(df.columns)
+
+
+def spread(df: DataFrame, key: str, by: str, total: int, rows: int = 256) -> tuple[DataFrame, DataFrame]:
+    """df with a column `part`, and (key, part) as it occurs at most: a key of many rows is dealt to parts of about `rows`
+    rows each by a hash of column `by`; all others have the one part 0. total: df's rows. The keys of many rows, which are
+    what is broadcast, are 4,096 at most."""
+    least = max(rows, total // 4096)
+    parts = F.ceil(F.col("_n") / least).cast("long")
+    hot = df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > least).select(key, parts.alias("_parts"))
+    one = F.lit(0).cast("long")
+    dealt = df.join(F.broadcast(hot), key, "left").withColumn("part", F.when(F.col("_parts").isNull(), one).otherwise(F.pmod(F.xxhash64(by), F.col("_parts")))).drop("_parts")
+    return dealt, dealt.select(key, "part").distinct()

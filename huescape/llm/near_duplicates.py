@@ -5,16 +5,20 @@ documents is the number of values that differ. All pairs of distance 25 or less
 chunks, one then has at most 1 differing value (13 * 2 = 26 > 25), so the two share a key of that chunk with one of its
 five values left out. A pair of similarity 0.85 has a distance over 25 with a probability below 1e-6.
 
-Documents with equal sets are one class from the start. Within a key's bucket nothing is paired with everything: first
-each class is held against the least class of the bucket. What is confirmed on full sets makes components. Then only
-buckets that still hold several components matter. Those that share components make groups; a group's classes meet in
-blocks of bounded size, blocks of one and the same component never. In a block pair, candidates across components (by
-signature distance) are confirmed on full sets, nearest first, unless links found before have joined them: it emits a
-forest of links, never pairs. A link inside a component can't change the result, so none is lost.
+Documents with equal sets are one class from the start. Nothing is paired with everything in a key's bucket. First each
+class is held against the least class of the bucket; what is confirmed on full sets makes components. Then only buckets
+that still hold several components matter. Their classes meet by signature, in blocks of bounded size, blocks of one and
+the same component never; a pair counts in the first bucket it shares, if it lies across components and near enough. The
+sets of classes with such pairs then meet in the same blocks: a block emits a forest of links, never pairs. A link inside
+a component can't change the result, so none is lost.
+
+Sets for the search are of one 64-bit hash of shingles, those that confirm links of another, unrelated one; classes are
+equal in digests of both.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,23 +26,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Stored, likely, stored, table
+from ._common import Stored, likely, spread, stored, table, tidy
 from ._words import NOT_SPACE, Words, mix, pieces, utf8
 from .components import components
 
 SHINGLE, PERCENT = 3, 85
 CHUNKS, VALUES, BITS, DISTANCE = 13, 5, 12, 25
-#: Classes of a group that one step of the search across components holds against as many others.
-BLOCK = 256
+#: Classes of a bucket that one step of the search across components holds against as many others; members of a star in one.
+BLOCK, STAR = 128, 64
 _A = mix(np.arange(1, CHUNKS * VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _X = mix(np.arange(1001, CHUNKS * VALUES + 1001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _sets(data: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
+def _sets(words: Words, n: int, lane: int = 0) -> list[np.ndarray]:
     """Each row's distinct shingles of n words as sorted 64-bit hashes; of fewer words, all as one; none of no words."""
-    words = Words(data, off, NOT_SPACE)
-    h, first = words.hashes(), words.first
+    h, first = words.hashes(lane), words.first
     total = np.zeros(max(0, len(h) - n + 1), np.uint64)
     for j in range(n if len(total) else 0):
         total = total * _B + h[j : j + len(total)]
@@ -85,11 +88,12 @@ def _features(n: int):
         for batch in batches:
             data, off = utf8(batch.column("text"))
             for i, j in pieces(off):
-                sets = _sets(data[off[i] : off[j]], off[i : j + 1] - off[i], n)
+                words = Words(data[off[i] : off[j]], off[i : j + 1] - off[i], NOT_SPACE)
+                sets, others = _sets(words, n), _sets(words, n, lane=1)
                 sigs = [signature(s).tobytes() if len(s) else None for s in sets]
                 with np.errstate(over="ignore"):
                     f1 = [int(np.add.reduce(mix(s ^ np.uint64(0x5555)), dtype=np.uint64).astype(np.int64)) for s in sets]
-                    f2 = [int(np.bitwise_xor.reduce(mix(s + np.uint64(0x7777))).astype(np.int64)) if len(s) else 0 for s in sets]
+                    f2 = [int(np.bitwise_xor.reduce(mix(s + np.uint64(0x7777))).astype(np.int64)) if len(s) else 0 for s in others]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "n", "f1", "f2", "sig"])
 
     return run
@@ -100,22 +104,29 @@ def _set_rows(n: int):
         for batch in batches:
             data, off = utf8(batch.column("text"))
             for i, j in pieces(off):
-                sets = _sets(data[off[i] : off[j]], off[i : j + 1] - off[i], n)
+                sets = _sets(Words(data[off[i] : off[j]], off[i : j + 1] - off[i], NOT_SPACE), n, lane=1)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set"])
 
     return run
 
 
-def _confirm(percent: int):
-    """(u, v, a, b): keeps u, v whose sets a and b have 100 * common >= percent * all."""
+def _confirm_stars(percent: int):
+    """Rows (u, part, id, set), those of a (u, part) together and u's own first: u's links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, centers = None, []  # rows that share a doc_id can have several sets
         for batch in batches:
+            us, parts, ids = (batch.column(c).to_pylist() for c in ("u", "part", "id"))
             good = []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                good.append(_linked(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), percent))
+            for k, s in enumerate(batch.column("set")):
+                mine = np.frombuffer(s.as_buffer(), np.uint64)
+                if (us[k], parts[k]) != now:
+                    now, centers = (us[k], parts[k]), []
+                if ids[k] == us[k]:
+                    centers.append(mine)
+                good.append(ids[k] != us[k] and any(_linked(c, mine, percent) for c in centers))
             keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("u", "v")], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("u", "id")], ["u", "v"])
 
     return run
 
@@ -125,8 +136,18 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = [chunk_keys(np.frombuffer(s.as_buffer(), np.int16)) for s in batch.column("sig")]
         each = CHUNKS * VALUES
         flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-        at = np.repeat(np.arange(len(keys)), each)
-        yield pa.RecordBatch.from_arrays([flat, batch.column("id").take(pa.array(at))], ["key", "id"])
+        at = pa.array(np.repeat(np.arange(len(keys)), each))
+        yield pa.RecordBatch.from_arrays([flat, batch.column("id").take(at), batch.column("n").take(at)], ["key", "id", "n"])
+
+
+def first_shared(same: np.ndarray) -> np.ndarray:
+    """same: pairs x values, which of them are equal. The place (as in chunk_keys) of the first key that a pair shares, -1 for none."""
+    by = same.reshape(len(same), CHUNKS, VALUES)
+    enough = by.sum(axis=2) >= VALUES - 1
+    chunk = enough.argmax(axis=1)
+    at = np.arange(len(same))
+    left_out = np.where(by[at, chunk].all(axis=1), 0, by[at, chunk].argmin(axis=1))
+    return np.where(enough.any(axis=1), chunk * VALUES + left_out, -1)
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -136,25 +157,68 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def _across(distance: int, percent: int):
-    """Rows of a (grp, i, j) lie together: emits links that join different components."""
+def _grouped(make, *names: str):
+    """make(rows of one group) for each run of rows that are equal in the columns `names`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = np.stack([batch.column(c).to_numpy() for c in names], axis=1)
+            cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1).tolist(), len(group)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and tuple(group[a].tolist()) != now:
+                    yield make(pa.Table.from_batches(held))
+                    held = []
+                now = tuple(group[a].tolist())
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield make(pa.Table.from_batches(held))
+
+    return run
+
+
+_BLOCK = "key long, i long, j long"
+_PARTNERS = _BLOCK + ", id long, comp long, partners array<long>"
+
 
-    def links(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(rows)
-        side, own, comp = (t.column(c).to_numpy() for c in ("side", "id", "comp"))
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")]
-        sig, n = np.stack([signature(x) for x in sets]), np.array([len(x) for x in sets])
-        found = []
-        right = np.flatnonzero(side >= 0)
+def _candidates(distance: int, percent: int):
+    """Rows (key, i, j, side, id, comp, n, sig) of a block: those with partners across components that are near enough by
+    signature and size, and share no key before this one; each pair stands with one of its two."""
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        side, own, comp, n = (t.column(c).to_numpy() for c in ("side", "id", "comp", "n"))
+        sig = np.stack([np.frombuffer(x.as_buffer(), np.int16) for x in t.column("sig")])
+        place = int(t.column("key")[0].as_py()) >> (BITS * (VALUES - 1))
+        right, mine = np.flatnonzero(side >= 0), [[] for _ in own]
+        met = np.zeros(len(own), bool)
         for i in np.flatnonzero(side <= 0).tolist():
-            ok = right[comp[right] != comp[i]]
-            ok = ok[100 * np.minimum(n[ok], n[i]) >= percent * np.maximum(n[ok], n[i])]
-            far = (sig[ok] != sig[i]).sum(axis=1)
-            ok, far = ok[far <= distance], far[far <= distance]
-            found.append(np.stack([far, np.full(len(ok), i), ok], axis=1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 3), int)
-        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-        parent = {c: c for c in comp.tolist()}
+            # Within one block each pair once; between two, all of one with all of the other.
+            ok = right[right > i] if side[i] == 0 else right
+            ok = ok[(comp[ok] != comp[i]) & (100 * np.minimum(n[ok], n[i]) >= percent * np.maximum(n[ok], n[i]))]
+            if not len(ok):
+                continue
+            same = sig[ok] == sig[i]
+            ok = ok[(same.shape[1] - same.sum(axis=1) <= distance) & (first_shared(same) == place)]
+            mine[i], met[i] = own[ok].tolist(), met[i] or len(ok) > 0
+            met[ok] = True
+        at = np.flatnonzero(met)
+        keep = pa.array(at)
+        return pa.RecordBatch.from_arrays([*(t.column(c).take(keep).combine_chunks() for c in ("key", "i", "j", "id", "comp")), pa.array([mine[k] for k in at], pa.list_(pa.int64()))], ["key", "i", "j", "id", "comp", "partners"])
+
+    return _grouped(pairs, "key", "i", "j")
+
+
+def _forests(percent: int):
+    """Rows (key, i, j, id, comp, partners, set) of a block: links that join different components."""
+
+    def links(t: pa.Table) -> pa.RecordBatch:
+        own, comp = t.column("id").to_pylist(), t.column("comp").to_pylist()
+        sets = defaultdict(list)  # rows that share a doc_id can have several
+        for x, s in zip(own, t.column("set"), strict=True):
+            sets[x].append(np.frombuffer(s.as_buffer(), np.uint64))
+        of, parent = dict(zip(own, comp, strict=True)), {c: c for c in comp}
 
         def root(c: int) -> int:
             while parent[c] != c:
@@ -163,59 +227,53 @@ def _across(distance: int, percent: int):
             return c
 
         out = []
-        for _, i, j in pairs.tolist():
-            a, b = root(int(comp[i])), root(int(comp[j]))
-            if a != b and _linked(sets[i], sets[j], percent):
-                parent[b] = a
-                out.append((int(own[i]), int(own[j])))
+        for x, partners in zip(own, t.column("partners").to_pylist(), strict=True):
+            for y in partners:
+                a, b = root(of[x]), root(of[y])
+                if a != b and any(_linked(p, q, percent) for p in sets[x] for q in sets[y]):
+                    parent[b] = a
+                    out.append((x, y))
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            group = list(zip(*(batch.column(c).to_pylist() for c in ("grp", "i", "j")), strict=True))
-            at = 0
-            for end in range(1, len(group) + 1):
-                if end < len(group) and group[end] == group[at]:
-                    continue
-                if held and group[at] != now:
-                    yield links(held)
-                    held = []
-                now = group[at]
-                held.append(batch.slice(at, end - at))
-                at = end
-        if held:
-            yield links(held)
-
-    return run
+    return _grouped(links, "key", "i", "j")
 
 
-def _search_across(shared: DataFrame, labels: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (u, v) between different components of buckets that hold several. shared: key, id; labels: u, v."""
-    placed = shared.join(labels, F.col("id") == F.col("u"), "left").select("key", "id", F.coalesce("v", "id").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key", "c0")
-    open_rows = stored(placed.join(mixed, "key").select("id", "comp", "c0").distinct(), "near-open")
-    groups = components(open_rows.select(F.col("comp").alias("u"), F.col("c0").alias("v")))
-    rows = open_rows.select("id", "comp").distinct().join(groups, F.col("comp") == F.col("u"), "left").select("id", "comp", F.coalesce("v", "comp").alias("grp"))
-    rows = stored(rows, "near-grouped")
-    # Blocks: parts of a large component ("pure"), or small components put together.
-    sizes = rows.groupBy("grp", "comp").agg(F.count("*").alias("size"))
-    small = sizes.where(F.col("size") <= BLOCK).groupBy("grp").agg(F.ceil(F.sum("size") / BLOCK).cast("long").alias("lots"))
-    of = sizes.join(small, "grp", "left")
-    r = rows.join(of.drop("grp"), "comp")
+def _blocked(entries: DataFrame) -> DataFrame:
+    """entries (key, id, comp, n, size: rows of the key) as rows of blocks: key, i, j, side, id, comp, n. A key of few
+    rows is one block. Of others, parts of a large component (`pure`), or small components put together, are blocks; each
+    meets each, but for those of one and the same component."""
+    few = entries.where(F.col("size") <= BLOCK)
+    zero = F.lit(0).cast("long")
+    whole = few.select("key", zero.alias("i"), zero.alias("j"), F.lit(0).alias("side"), "id", "comp", "n")
+    many = entries.where(F.col("size") > BLOCK).drop("size")
+    sizes = many.groupBy("key", "comp").agg(F.count("*").alias("size"))
+    small = sizes.where(F.col("size") <= BLOCK).groupBy("key").agg(F.ceil(F.sum("size") / BLOCK).cast("long").alias("lots"))
+    r = many.join(sizes.join(small, "key", "left"), ["key", "comp"])
     large = F.col("size") > BLOCK
     part = F.when(large, F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK).cast("long"))).otherwise(F.pmod(F.xxhash64("comp"), F.coalesce("lots", F.lit(1))))
-    r = stored(r.select("id", "comp", "grp", F.when(large, F.col("comp")).alias("pure"), part.alias("part")), "near-blocks")
+    # A block's number; those of a component begin with its hash.
+    own = F.when(large, F.xxhash64("comp", part)).otherwise(part)
+    r = stored(r.select("key", "id", "comp", "n", F.when(large, F.col("comp")).alias("pure"), own.alias("own")), "near-blocks")
     # An entry for BLOCK classes. Stored, so that the join below is of two plain tables, which Spark can split by skew.
-    blocks = stored(r.groupBy("grp").agg(F.collect_set(F.struct("pure", "part")).alias("blocks")), "near-block-lists")
-    met = r.join(_sets_of(docs, r.select("id").distinct(), shingle), "id").join(blocks, "grp")
+    blocks = stored(r.groupBy("key").agg(F.collect_set(F.struct("pure", "own")).alias("blocks")), "near-block-lists")
     others = F.filter("blocks", lambda b: F.col("pure").isNull() | b["pure"].isNull() | (b["pure"] != F.col("pure")))
-    met = met.select("id", "comp", "grp", "set", F.concat_ws("-", "pure", "part").alias("own"), F.explode(others).alias("b"))
-    met = met.withColumn("other", F.concat_ws("-", "b.pure", "b.part"))
+    met = r.join(blocks, "key").select("key", "id", "comp", "n", "own", F.explode(F.transform(others, lambda b: b["own"])).alias("other"))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), -1).otherwise(1)
-    met = met.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "id", "comp", "set")
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return met.repartition(tasks, "grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_across(DISTANCE, percent), "u long, v long")
+    return whole.unionByName(met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "id", "comp", "n"))
+
+
+def _search_across(shared: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between different components of buckets that hold several. shared: key, id, n; labels: u, v."""
+    placed = shared.join(labels, F.col("id") == F.col("u"), "left").select("key", "id", "n", F.coalesce("v", "id").alias("comp"))
+    placed = stored(placed, "near-placed")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where("c0 <> c1").select("key", "size")
+    entries = stored(likely(placed, "key", mixed).join(mixed, "key"), "near-open")
+    tasks = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = ["key", "i", "j"]
+    rows = _blocked(entries).join(classes.select("id", "sig"), "id").repartition(tasks, *block).sortWithinPartitions(*block)
+    found = stored(rows.mapInArrow(_candidates(DISTANCE, percent), _PARTNERS), "near-candidates")
+    rows = found.join(sets, "id").repartition(tasks, *block).sortWithinPartitions(*block)
+    return rows.mapInArrow(_forests(percent), "u long, v long")
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -226,14 +284,19 @@ def _sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return likely(texts, "id", ids).join(ids, "id").mapInArrow(_set_rows(n), "id long, set binary")
 
 
-def _by_set(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of pairs (u, v) of ids, those that are linked. Sets are made anew for the ids that occur."""
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    sets = stored(_sets_of(docs, ids, n), "near-sets")
-    one, two = sets.select(F.col("id").alias("u"), F.col("set").alias("a")), sets.select(F.col("id").alias("v"), F.col("set").alias("b"))
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(_confirm(percent), "u long, v long")
+def _stars(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) of classes to the least class of a bucket. shared: key, id, n, hub, hub_n. A hub of many members is in
+    several parts, so that no task has all of them; its set goes to each part once."""
+    near = F.lit(100) * F.least("n", "hub_n") >= F.lit(percent) * F.greatest("n", "hub_n")
+    star = stored(shared.where("id <> hub").where(near).select(F.col("hub").alias("u"), "id").distinct(), "near-star")
+    dealt, centers = spread(star, "u", "id", star.count(), STAR)
+    rows = dealt.select("u", "part", "id").unionByName(centers.select("u", "part", F.col("u").alias("id")))
+    tasks = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.join(sets, "id").repartition(tasks, "u", "part").sortWithinPartitions("u", "part", F.col("id") != F.col("u"))
+    return rows.select("u", "part", "id", "set").mapInArrow(_confirm_stars(percent), "u long, v long")
 
 
+@tidy
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text; more columns are ignored).
 
@@ -245,36 +308,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     rows = stored(docs.mapInArrow(_features(shingle), "doc_id long, n long, f1 long, f2 long, sig binary"), "near-rows")
     usable = rows.where("n > 0 and doc_id is not null")
     classes = stored(usable.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "near-classes")
-    keys = Stored(classes.select("id", "sig").mapInArrow(_keys, "key long, id long"), "near-keys")
-    hubs = keys.df.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("most")).where("hub <> most").select("key", "hub")
-    hubs = stored(hubs, "near-hubs")
+    keys = Stored(classes.select("id", "n", "sig").mapInArrow(_keys, "key long, id long, n long"), "near-keys")
+    hubs = keys.df.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("most")).where("hub.id <> most")
+    hubs = stored(hubs.select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "near-hubs")
     shared = stored(likely(keys.df, "key", hubs).join(hubs, "key"), "near-shared")
     keys.drop()
 
-    star = shared.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
-    links = stored(_by_set(_near_enough(star, classes, percent), docs, shingle, percent), "near-links")
-    labels = stored(components(links), "near-labels")
-    more = _search_across(shared.select("key", "id"), labels, docs, shingle, percent)
+    sets = stored(_sets_of(docs, shared.select("id").distinct(), shingle), "near-sets")
+    links = stored(_stars(shared, sets, percent), "near-links")
+    labels = components(links)
+    more = _search_across(shared.select("key", "id", "n"), labels, classes, sets, percent)
     links = stored(links.unionByName(more), "near-all-links")
 
     # Classes of equal sets, and rows that share a doc_id across classes, by edges to the class.
     shared = usable.groupBy("doc_id").agg(F.count_distinct("f1", "f2", "n").alias("sets")).where("sets > 1").select("doc_id")
     member = usable.join(classes.select("f1", "f2", "n", "id"), ["f1", "f2", "n"]).select("doc_id", "id")
     twice = member.join(shared, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
-    final = stored(components(links.unionByName(twice)), "near-final")
+    final = components(links.unionByName(twice))
     byclass = classes.join(final, F.col("id") == F.col("u"), "left").select("f1", "f2", "n", F.coalesce("v", "id").alias("component_id"))
     out = rows.join(byclass, ["f1", "f2", "n"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes allow a link."""
-    sizes = classes.select("id", "n")
-    p = pairs.join(sizes.select(F.col("id").alias("u"), F.col("n").alias("nu")), "u").join(sizes.select(F.col("id").alias("v"), F.col("n").alias("nv")), "v")
-    return stored(p.where(F.lit(100) * F.least("nu", "nv") >= F.lit(percent) * F.greatest("nu", "nv")).select("u", "v"), "near-star")
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), SHINGLE, PERCENT)
 

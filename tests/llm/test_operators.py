@@ -406,6 +406,51 @@ def test_near_duplicates_odd_rows(spark):
     assert near_duplicates.near_duplicates(docs(spark, *ODD).limit(0)).count() == 0
 
 
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    """A doc_id with two texts is one vertex, linked by either."""
+    rnd = random.Random(14)
+    text = lambda: " ".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=60))
+    one, two, three = text(), text(), text()
+    rows = [(1, one), (1, two), (7, one + " end"), (8, two + " end"), (9, three), (4, three + " end"), (4, one + " fin")]
+    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(docs(spark, *[(i, t, "s") for i, t in rows])).collect()}
+    assert got == {1: 1, 7: 1, 8: 1, 4: 1, 9: 1}
+
+
+def test_look_alikes_in_chains(spark, monkeypatch):
+    """Texts of one template, most too far apart to be linked, some linked in chains across what the stars have joined."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", 8)
+    monkeypatch.setattr(near_duplicates, "STAR", 4)
+    rnd = random.Random(15)
+    template, rows = [f"t{k}" for k in range(150)], []
+    for _ in range(60):
+        t = list(template)
+        for k in rnd.sample(range(150), 5):
+            t[k] = f"x{rnd.randrange(9)}"
+        rows.append(t)
+    for _ in range(60):  # neighbours of neighbours
+        t = list(rnd.choice(rows))
+        for k in rnd.sample(range(150), 2):
+            t[k] = f"y{rnd.randrange(9)}"
+        rows.append(t)
+    rows = [(i, " ".join(t)) for i, t in enumerate(rnd.sample(rows, len(rows)))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(docs(spark, *[(i, t, "s") for i, t in rows])).collect()}
+    want = brute_near(rows, 5, 80)
+    assert got == want and len({c for _, c in want.values()}) > 5
+
+
+def test_first_shared_key():
+    rnd = np.random.default_rng(3)
+    sig = rnd.integers(0, 2, (60, near_duplicates.CHUNKS * near_duplicates.VALUES)).astype(np.int16)
+    keys = [near_duplicates.chunk_keys(s) for s in sig]
+    for i in range(60):
+        same = sig == sig[i]
+        for j, place in enumerate(near_duplicates.first_shared(same).tolist()):
+            common = np.flatnonzero(keys[i] == keys[j])
+            assert place == (common[0] if len(common) else -1)
+            if len(common):
+                assert keys[i][place] >> (near_duplicates.BITS * (near_duplicates.VALUES - 1)) == place
+
+
 # op 10
 
 

@@ -18,7 +18,7 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import hash32, md5_hex, stored, table
+from ._common import hash32, md5_hex, stored, table, tidy
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK, SHARD, REPEATS, SEED, ROUNDS, CHUNK = 512, 1024, 3, "mix-1", 8, 4096
@@ -88,6 +88,7 @@ class Mix:
         sums = self.sizes.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
         sums = stored(sums, "mix-buckets")
         self.sources = stored(self._counts(source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), repeats)), "mix-sources")
+        self.all_slots = self.sources.agg(F.max("all_slots")).first()[0] or 0
         before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         self.bases = sums.select("source", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
         self.placed = self._place(self.sizes.withColumn("bucket", bucket))
@@ -147,40 +148,72 @@ class Mix:
         return p.select("doc_id", "source", "size", "h", "block", (lo - F.col("block") * self.block).alias("lo"), (hi - F.col("block") * self.block).alias("hi"), (lo - F.col("first")).alias("skip"))
 
     def mixed(self) -> DataFrame:
-        """The mix: shard, slot, pass, source, block, doc_id, size, skip, words (words skip .. skip + words of the document)."""
+        """The mix: shard, slot, place (in the slot), pass, source, block, doc_id, size, skip, words (words skip .. skip +
+        words of the document)."""
         p, s = self.pieces().alias("p"), self.slots.alias("s")
         # The slots come from a few rows by way of sequences, so their estimated size says nothing: no broadcast.
         both = p.join(s.hint("merge"), _same(F.col("p.source"), F.col("s.source")) & (F.col("p.block") == F.col("s.block")))
         words = F.least("hi", "words") - F.col("lo")
-        return both.where(words > 0).select("shard", "slot", "pass", "p.source", "p.block", "doc_id", "size", "skip", words.alias("words"))
+        return both.where(words > 0).select("shard", "slot", F.col("lo").alias("place"), "pass", "p.source", "p.block", "doc_id", "size", "skip", words.alias("words"))
 
     def taken(self) -> DataFrame:
-        """doc_id, source, size, taken: words that the mix takes of each document, repeats counted. Rows with nothing taken are left out."""
-        return self.mixed().groupBy("doc_id", "source", "size").agg(F.sum("words").alias("taken"))
+        """doc_id, source, size, taken: words that the mix takes of each document, repeats counted; first_shard, first_slot:
+        where the first of them stand. Rows with nothing taken are left out."""
+        by = self.mixed().groupBy("doc_id", "source", "size").agg(F.sum("words").alias("taken"), F.min(F.struct("shard", "slot")).alias("at"))
+        return by.select("doc_id", "source", "size", "taken", F.col("at.shard").alias("first_shard"), F.col("at.slot").alias("first_slot"))
 
 
+@tidy
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row of docs (see Mix)."""
+    """doc_id, size, source_size, target, taken, first_shard, first_slot of every row of docs (see Mix): what the shards
+    hold of it (0 and null: nothing)."""
     m = Mix(docs, **options)
     d = m.sizes.withColumn("copies", F.count("*").over(Window.partitionBy("doc_id", "source", "size"))).alias("d")
     t, s = m.taken().alias("t"), m.sources.alias("s")
     both = d.join(t, _same(F.col("d.doc_id"), F.col("t.doc_id")) & _same(F.col("d.source"), F.col("t.source")) & (F.col("d.size") == F.col("t.size")), "left")
     out = both.join(s, _same(F.col("d.source"), F.col("s.source")), "left")
-    return out.select("d.doc_id", "d.size", "s.source_size", "s.target", F.expr("coalesce(taken, 0) div copies").alias("taken"))
+    return out.select("d.doc_id", "d.size", "s.source_size", "s.target", F.expr("coalesce(taken, 0) div copies").alias("taken"), "t.first_shard", "t.first_slot")
 
 
+_SPACED = r"[\x20\x09-\x0D]*" + WORD
+
+
+def _cut(text: Column, skip: Column, words: Column) -> Column:
+    """words of a text from the skip-th on, white space before each kept."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(_SPACED), F.lit(0)), (skip + 1).cast("int"), words.cast("int")), "")
+
+
+@tidy
+def mixed_shards(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: shard, slot, pass, doc_id, source, text. A row for each piece of a document that a slot holds, the
+    pieces of a slot side by side in order of their place in it (column `place`). Partitioned by shard, sorted by slot.
+    Rows that share doc_id, source and size each give their pieces."""
+    m = Mix(docs, **options)
+    own = "__mix_size"
+    d = docs.select("doc_id", "source", "text", count_words(F.col("text")).alias(own)).alias("d")
+    both = m.mixed().alias("m").join(d, _same(F.col("d.doc_id"), F.col("m.doc_id")) & _same(F.col("d.source"), F.col("m.source")) & (F.col(f"d.{own}") == F.col("m.size")))
+    rows = both.select("shard", "slot", "place", "pass", "d.doc_id", "d.source", _cut(F.col("d.text"), F.col("skip"), F.col("words")).alias("text"))
+    return rows.repartition(m._tasks, "shard").sortWithinPartitions("shard", "slot", "place")
+
+
+@tidy
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as rows with the columns of docs: a row for each document and pass that takes words of it, its text cut
-    to those words (white space before each kept), n_chars following. Rows that share doc_id and size share their fate."""
+    to those words (white space before each kept), n_chars following. Rows that share doc_id and size share their fate.
+    Rows are in order of the slot that holds their first words: a partition has the documents of a range of shards."""
     m = Mix(docs, **options)
-    spans = m.mixed().groupBy("doc_id", "source", "size", "pass").agg(F.sum("words").alias("take"), F.array_sort(F.collect_list(F.struct("skip", "words"))).alias("spans")).alias("m")
+    at = F.col("shard") * m.shard + F.col("slot")
+    spans = m.mixed().groupBy("doc_id", "source", "size", "pass").agg(F.sum("words").alias("take"), F.min(at).alias("at"), F.array_sort(F.collect_list(F.struct("skip", "words"))).alias("spans")).alias("m")
     own = "__mix_size"  # docs may have columns of any of the names here
     d = docs.withColumn(own, count_words(F.col("text"))).alias("d")
     both = d.join(spans, _same(F.col("d.doc_id"), F.col("m.doc_id")) & _same(F.col("d.source"), F.col("m.source")) & (F.col(f"d.{own}") == F.col("m.size")))
-    word = F.regexp_extract_all(F.col("d.text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    word = F.regexp_extract_all(F.col("d.text"), F.lit(_SPACED), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("m.spans", lambda s: F.slice(word, (s["skip"] + 1).cast("int"), s["words"].cast("int")))), "")
     text = F.when(F.col("m.take") >= F.col("m.size"), F.col("d.text")).otherwise(cut)
-    rows = both.select(*[F.col(f"d.`{c}`") for c in docs.columns if c != "text"], text.alias("text"))
+    # Slots are dealt evenly, so ranges of them are too, and need no sampling.
+    several = F.floor(F.col("m.at") / F.lit(max(1, -(-m.all_slots // m._tasks))))
+    rows = both.select(*[F.col(f"d.`{c}`") for c in docs.columns if c != "text"], text.alias("text"), F.col("m.at").alias("__mix_at"), several.alias("__mix_range"))
+    rows = rows.repartition(m._tasks, "__mix_range").sortWithinPartitions("__mix_at")
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     return rows.select(docs.columns)
@@ -212,16 +245,19 @@ u AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(most) OVER (ORD
     / sum(weight) OVER (ORDER BY most / weight, source IS NULL, encode(source) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit FROM w),
 t AS (SELECT *, least(most, weight * (SELECT max(unit) FROM u)) AS target FROM u),
 c AS (SELECT *, (source_size + {BLOCK} - 1) // {BLOCK} AS blocks, round(target)::BIGINT // source_size AS passes, round(target)::BIGINT % source_size AS rest FROM t WHERE source_size > 0),
-k AS (SELECT *, source_size - (blocks - 1) * {BLOCK} AS tail FROM c),
+k0 AS (SELECT *, source_size - (blocks - 1) * {BLOCK} AS tail, passes * blocks + (rest + {BLOCK} - 1) // {BLOCK} AS k FROM c),
+k AS (SELECT *, coalesce(sum(k) OVER (ORDER BY source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base, (sum(k) OVER ())::BIGINT AS all_slots FROM k0),
 e AS (SELECT *, unnest(range(passes + 1)) AS pass FROM k),
 f AS (SELECT *, CASE WHEN pass < passes THEN blocks ELSE (rest + {BLOCK} - 1) // {BLOCK} END AS m,
     CASE WHEN pass < passes THEN blocks ELSE greatest(blocks - 1, 1) END AS n, CASE WHEN pass < passes THEN {BLOCK} * blocks ELSE rest END AS left_,
     {_sql_keys("coalesce('s' || source, 'n')", "pass::VARCHAR")} AS keys FROM e),
 x AS (SELECT *, unnest(range(m)) AS x FROM f),
 b AS (SELECT *, CASE WHEN x < n THEN {_sql_perm("x", "n", "keys")} ELSE blocks - 1 END AS block FROM x),
-s AS (SELECT source, block, least(left_ - x * {BLOCK}, CASE WHEN block = blocks - 1 THEN tail ELSE {BLOCK} END) AS words FROM b),
+j AS (SELECT *, base + pass * blocks + x AS j, {_sql_keys("'slots'")} AS slot_keys FROM b),
+s AS (SELECT source, block, least(left_ - x * {BLOCK}, CASE WHEN block = blocks - 1 THEN tail ELSE {BLOCK} END) AS words, {_sql_perm("j", "all_slots", "slot_keys")} AS spot FROM j),
 q AS (SELECT *, unnest(range(first // {BLOCK}, (first + size - 1) // {BLOCK} + 1)) AS block FROM p WHERE size > 0),
-r AS (SELECT q.doc_id, q.source, q.size, sum(greatest(0, least(first + size - q.block * {BLOCK}, words) - greatest(0, first - q.block * {BLOCK})))::BIGINT AS taken
-    FROM q JOIN s ON q.source IS NOT DISTINCT FROM s.source AND q.block = s.block GROUP BY ALL)
-SELECT p.doc_id, p.size, t.source_size, t.target, coalesce(r.taken, 0)::BIGINT // copies AS taken FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+m AS (SELECT q.doc_id, q.source, q.size, spot, least(first + size - q.block * {BLOCK}, words) - greatest(0, first - q.block * {BLOCK}) AS n
+    FROM q JOIN s ON q.source IS NOT DISTINCT FROM s.source AND q.block = s.block),
+r AS (SELECT doc_id, source, size, sum(n)::BIGINT AS taken, min(spot) AS spot FROM m WHERE n > 0 GROUP BY ALL)
+SELECT p.doc_id, p.size, t.source_size, t.target, coalesce(r.taken, 0)::BIGINT // copies AS taken, r.spot // {SHARD} AS first_shard, r.spot % {SHARD} AS first_slot FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
 LEFT JOIN r ON p.doc_id IS NOT DISTINCT FROM r.doc_id AND p.source IS NOT DISTINCT FROM r.source AND p.size = r.size"""

@@ -488,6 +488,20 @@ def test_mix_reaches_targets_within_limits(spark):
     per = [r.n for r in m.shard_counts.groupBy("shard").agg(F.sum("slots").alias("n")).orderBy("shard").collect()]
     assert set(per[:-1]) == {16} and 0 < per[-1] <= 16
     assert m.slots.groupBy("shard", "slot").count().where("count > 1").count() == 0
+    # What stands in the shards: each slot's words, up to a block, are those that the documents' rows report.
+    held = mixing.mixed_shards(d, block=64, shard=16)
+    slots, per_doc, first = {}, {}, {}
+    for r in held.collect():
+        n = len(r.text.split())
+        slots[(r.shard, r.slot)] = slots.get((r.shard, r.slot), 0) + n
+        per_doc[r.doc_id] = per_doc.get(r.doc_id, 0) + n
+        first[r.doc_id] = min(first.get(r.doc_id, (r.shard, r.slot)), (r.shard, r.slot))
+    assert {(r.shard, r.slot): r.words for r in m.slots.where("words > 0").collect()} == slots and max(slots.values()) <= 64
+    assert per_doc == {r.doc_id: r.taken for r in got if r.taken}
+    assert first == {r.doc_id: (r.first_shard, r.first_slot) for r in got if r.taken}
+    # Shards differ in their draws, and all have about the mix's shares.
+    counts = m.shard_counts.toPandas().pivot(index="shard", columns="source", values="slots").fillna(0)
+    assert len(counts.drop_duplicates()) > 2 and abs(counts["a"].mean() / counts.sum(axis=1).mean() - counts["a"].sum() / counts.to_numpy().sum()) < 0.05
     words = mixing.mixed_documents(d, block=64, shard=16).groupBy("doc_id").agg(F.sum(mixing.count_words(F.col("text"))).alias("n")).collect()
     assert {r.doc_id: r.n for r in words} == {r.doc_id: r.taken for r in got if r.taken}
 
@@ -498,6 +512,8 @@ def test_mix_odd_rows(spark):
     assert mixing.mix_sources(docs(spark, *ODD).limit(0)).count() == 0
     assert mixing.mix_sources(docs(spark, (1, None, "a"), (2, "", None))).where("taken <> 0 or target <> 0").count() == 0
     assert mixing.mixed_documents(docs(spark, *ODD)).columns == docs(spark, *ODD).columns
+    assert mixing.mixed_shards(docs(spark, *ODD).limit(0)).count() == 0
+    assert "shard" in mixing.mix_sources(docs(spark, *ODD))._jdf.queryExecution().optimizedPlan().toString()
 
 
 # hashes

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import stored, table, tidy
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 LOSS_ROLES = ("assistant",)
@@ -160,48 +160,62 @@ _BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_
 
 
 def _back(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, now = _tokenizer(path), None
+    """Rows of a conversation together, in order of part."""
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+
+    class Digests:
+        def __init__(self, conv):
+            self.conv, self.turns, self.text, self.chars, self.loss, self.size, self.tokens = conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0
 
-        def rows(done: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], k) for i, k in enumerate(kinds)], [c.split()[0] for c in _BACK.split(", ")])
+        def row(self) -> tuple:
+            return (self.conv, self.turns, self.text.hexdigest(), self.chars, self.loss.hexdigest(), self.size, self.tokens)
 
+    def rows(done: list[Digests]) -> pa.RecordBatch:
+        made = [d.row() for d in done]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], k) for i, k in enumerate(kinds)], [c.split()[0] for c in _BACK.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer, now = _tokenizer(path), None
         for batch in batches:
             done = []
-            columns = [batch.column(c) for c in ("conv_id", "part", "formatted", "ids", "loss")]
+            columns = [batch.column(c) for c in ("conv_id", "formatted", "ids", "loss")]
             for values in zip(*columns, strict=True):
-                conv, part, formatted = (v.as_py() for v in values[:3])
-                if part == 0:
-                    if now:
-                        done.append((now[0], now[1], now[2].hexdigest(), now[3], now[4].hexdigest(), now[5], now[6]))
-                    now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                conv, formatted = (v.as_py() for v in values[:2])
+                if now is None or conv != now.conv:
+                    done += [now] if now else []
+                    now = Digests(conv)
                 turns = parse(formatted)
-                now[1] += len(turns)
-                now[2].update("".join(f"{role}\n{text}\n" for role, text in turns).encode())
-                ids, mask = np.asarray(values[3].values), np.asarray(values[4].values)
+                now.turns += len(turns)
+                now.text.update("".join(f"{role}\n{text}\n" for role, text in turns).encode())
+                ids, mask = np.asarray(values[2].values), np.asarray(values[3].values)
                 loss = unescape(tokenizer.decode(ids[mask].tolist())) if mask.any() else ""
-                now[3] += len(loss)
-                now[4].update(loss.encode())
-                now[5] += len(formatted)
-                now[6] += len(ids)
+                now.chars += len(loss)
+                now.loss.update(loss.encode())
+                now.size += len(formatted)
+                now.tokens += len(ids)
             yield rows(done)
         if now:
-            yield rows([(now[0], now[1], now[2].hexdigest(), now[3], now[4].hexdigest(), now[5], now[6])])
+            yield rows([now])
 
     return run
 
 
 def read_back(formatted: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Digests of format_conversations' rows: turns from parsing `formatted`, loss text from decoding the ids under the mask."""
-    return formatted.mapInArrow(_back(tokenizer or _path()), _BACK)
+    """Digests of format_conversations' rows, in whatever order and files they come: turns from parsing `formatted`, loss
+    text from decoding the ids under the mask. A row for each conversation, its parts put in order by a sort."""
+    tasks = int(formatted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = formatted.select("conv_id", "part", "formatted", "ids", "loss").repartition(tasks, "conv_id").sortWithinPartitions("conv_id", "part")
+    return parts.mapInArrow(_back(tokenizer or _path()), _BACK)
 
 
+@tidy
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of all conversations and conversation -7,
+    formatted, written as Parquet and read back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
-    return read_back(format_conversations(turns.unionByName(more))).drop("n_tokens")
+    return read_back(stored(format_conversations(turns.unionByName(more)), "chat")).drop("n_tokens")
 
 
 def oracle(source: str = "conversations") -> str:

@@ -103,6 +103,10 @@ def test_chat_odd_rows_and_parts(spark):
     assert (whole[2].n_turns, whole[2].loss_chars, whole[1].loss_chars) == (2, 8, 0)
     assert whole[9].loss_sha256 == hashlib.sha256("".join(f"turn {k} " * 20 for k in range(1, 60, 2)).encode()).hexdigest()
     assert chat.read_back(chat.format_conversations(t.limit(0))).count() == 0
+    # As any files would give them: written, split anew and out of order.
+    path = work_path(spark, "test-chat")
+    parts.repartition(7, F.rand(3)).write.parquet(path)
+    assert {r.conv_id: r for r in chat.read_back(spark.read.parquet(path)).collect()} == whole
 
 
 # op 2
@@ -282,7 +286,7 @@ def test_warc_round_trip(spark):
     assert got == sorted(want, key=str)
     (one,) = warc.fetch(spark, index, folder, 9)
     assert b"z" * 300_000 in one and one.startswith(b"WARC/1.1\r\n")
-    from pyarrow.fs import FileSystem
+    from pyarrow.fs import FileSelector, FileSystem
 
     fs, path = FileSystem.from_uri(folder)
     for bundle in {r.bundle for r in index.collect()}:
@@ -290,6 +294,62 @@ def test_warc_round_trip(spark):
             table = warc.read_seek_table(lambda at, n: f.read_at(n, at), f.size())
         assert {(at, packed) for at, packed, _ in table} == {(r.frame_at, r.frame_size) for r in index.where(F.col("bundle") == bundle).collect()}
     assert warc.write_archives(pages.limit(0), work_path(spark, "test-warc")).count() == 0
+    # What a failed attempt left goes with the next writing; the index is by record identifier.
+    with fs.open_output_stream(f"{path}/lost.warc.zst") as f:
+        f.write(b"x")
+    warc._remove_others(spark, index, folder)
+    left = {f.base_name for f in fs.get_file_info(FileSelector(path))}
+    assert left == {r.bundle for r in index.collect()}
+    assert index.select("record_id").distinct().count() == len(rows)
+
+
+def plain_reader(raw):
+    """Records of a WARC/1.1 file by the standard's grammar alone: version line, fields, block, two line ends."""
+    at, out = 0, []
+    while at < len(raw):
+        end = raw.index(b"\r\n\r\n", at)
+        version, *lines = raw[at:end].decode("utf-8").split("\r\n")
+        assert version == "WARC/1.1"
+        fields = dict(re.fullmatch(r"([!-9;-~]+):[ \t]*(.*)", x, re.S).groups() for x in lines)
+        assert len(fields) == len(lines) and {"WARC-Record-ID", "Content-Length", "WARC-Date", "WARC-Type"} <= set(fields)
+        assert re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", fields["WARC-Record-ID"]) and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"])
+        size = int(fields["Content-Length"])
+        block, tail = raw[end + 4 : end + 4 + size], raw[end + 4 + size : end + 8 + size]
+        assert len(block) == size and tail == b"\r\n\r\n"
+        out.append((fields, block))
+        at = end + 8 + size
+    return out
+
+
+def test_warc_by_another_reader(spark):
+    import io
+
+    import zstandard
+    from pyarrow.fs import FileSelector, FileSystem
+
+    big = "<p>é</p>" * 40
+    rows = [(k, f"http://h/{k}", big if k % 3 == 0 else f"page {k}") for k in range(40)] + [(0, "http://h/0", big), (3, "http://h/3", big)]
+    folder = work_path(spark, "test-warc")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), folder, frame=2000, bundle=4000)
+    fs, path = FileSystem.from_uri(folder)
+    found = []
+    for f in fs.get_file_info(FileSelector(path)):
+        with fs.open_input_file(f.path) as file:
+            found += plain_reader(zstandard.ZstdDecompressor().stream_reader(io.BytesIO(file.read()), read_across_frames=True).read())
+    ids = [h["WARC-Record-ID"] for h, _ in found]
+    assert len(found) == len(rows) == len(set(ids))
+    by = {h["WARC-Record-ID"]: (h, b) for h, b in found}
+    for h, b in found:
+        status, _, payload = b.partition(b"\r\n\r\n")
+        assert status.startswith(b"HTTP/1.1 200 OK\r\n") and h["Content-Type"] == "application/http; msgtype=response"
+        if h["WARC-Type"] == "revisit":
+            assert payload == b"" and h["WARC-Profile"].endswith("/revisit/identical-payload-digest")
+            of, block = by[h["WARC-Refers-To"]]
+            assert of["WARC-Type"] == "response" and of["WARC-Payload-Digest"] == h["WARC-Payload-Digest"]
+            assert (of["WARC-Target-URI"], of["WARC-Date"]) == (h["WARC-Refers-To-Target-URI"], h["WARC-Refers-To-Date"])
+        else:
+            assert h["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(payload).hexdigest()
+    assert sum(h["WARC-Type"] == "revisit" for h, _ in found) == 14  # 13 pages after page 0, one of them twice
 
 
 # op 7

@@ -44,10 +44,11 @@ def widened(df: DataFrame, ddl: str) -> T.StructType:
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
     """doc_id, text, label of the documents of at most `sample` labels: the first by hash of their ids. Ids and labels of
-    the sample, a few bytes a row, are what is broadcast; texts stay where they are."""
-    rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", label)
+    the sample, a few bytes a row, are what is broadcast; other texts stay where they are. Repeated labels count once, and
+    of documents that share an id the least text: rows are no more than labels, however often either is repeated."""
+    rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", label).distinct()
     rows = rows.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", label).limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").groupBy("doc_id", label).agg(F.min("text").alias("text"))
 
 
 def likely(df: DataFrame, column: str, keys: DataFrame, bits: int = 1 << 23) -> DataFrame:

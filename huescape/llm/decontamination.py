@@ -5,8 +5,9 @@ that share w + k - 1 words share a kept hash, so with w + k - 1 = 13 no shared w
 of documents are joined with those of the benchmark; each hit is extended to the windows around it, which are
 confirmed word by word. Items shorter than a window are one window of their own length, with w and k to match.
 
-The benchmark, not the corpus, is what is sent to every task. It is sent in blocks of at most `block_words` words; a
-larger benchmark takes another pass over the documents for each block, and what the passes find is put together.
+A benchmark of at most `block_words` words is sent to every task, with its index. A larger one is joined: kept hashes of
+both sides by hash, then, of the documents with hits, the windows around them by their words. Nothing of it is broadcast
+but filters of a fixed size, and both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -16,14 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import table, widened, without
+from ._common import likely, stored, table, tidy, widened, without
 from ._words import ALNUM, Words, mix, pieces, utf8
 
 WINDOW, BLOCK_WORDS = 13, 200_000
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _FOUND = "n_words long, hits array<struct<lo:int,hi:int>>, items array<string>"
 
 
@@ -160,46 +162,136 @@ def _scan(shared):
     return run
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, str]]]:
-    """Items as (id as text, text), in blocks; a row at a time comes to the driver."""
-    block, held = [], 0
-    for r in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))).toLocalIterator():
-        block.append((r[0], r[1]))
-        held += len(r[1]) // 2 + 1  # words have at least one byte and a blank
-        if held >= block_words:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item, text: null ids are called null, null texts are empty."""
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+@tidy
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without columns of these names, plus n_words, hits (intervals [lo, hi) of words inside an occurring window),
     items (ids of the items with one, sorted as text).
 
     docs: doc_id, text and any more columns. Null text has no words; an item without words occurs nowhere; items that
     share an id count as one, and an item_id of null is called null. Repeated documents are each reported."""
-    docs = without(docs, "n_words", "hits", "items")
-    blocks = _blocks(benchmark, block_words)
-    first = next(blocks, [])
-    out = _pass(docs, Index(first, window))
-    for n, block in enumerate(blocks):
-        more = _pass(docs, Index(block, window)).select("doc_id", F.xxhash64("text").alias("_h"), F.col("hits").alias("_hits"), F.col("items").alias("_items")).dropDuplicates(["doc_id", "_h"])
-        joined = out.withColumn("_h", F.xxhash64("text")).alias("a").join(more.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a._h") == F.col("b._h")), "left")
-        out = joined.select(*[F.col(f"a.`{c}`") for c in docs.columns], "n_words", merge_intervals(F.concat("hits", F.coalesce("_hits", F.array().cast("array<struct<lo:int,hi:int>>")))).alias("hits"), F.array_sort(F.array_union("items", F.coalesce("_items", F.array().cast("array<string>")))).alias("items"))
-    return out
+    docs, items = without(docs, "n_words", "hits", "items"), _items(benchmark)
+    # Words have at least one byte and a blank.
+    words = items.agg(F.sum(F.floor(F.octet_length("text") / 2) + 1)).first()[0] or 0
+    if words <= block_words:
+        return _pass(docs, Index([(r["item"], r["text"]) for r in items.toLocalIterator()], window))
+    return _joined(docs, items, window)
+
+
+_WINDOWS = "size int, words string, item string, prints array<long>"
+
+
+def _print_key(grams: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprints of windows of different sizes have nothing in common."""
+    return mix(grams + np.uint64(size)).view(np.int64)
 
 
-def merge_intervals(hits):
-    """A sorted union of intervals."""
-    kind = "array<struct<lo:int,hi:int>>"
+def _item_rows(window: int):
+    """size, words (of one window), item; the item's first row has its fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, item in enumerate(batch.column("item").to_pylist()):
+                data, off = utf8(batch.column("text").slice(at, 1))
+                words = Words(data, off, ALNUM)
+                size = min(window, len(words.starts))
+                if not size:
+                    continue
+                k, w = _split(size)
+                grams = _grams(words.hashes(), k)
+                prints = np.unique(_print_key(grams[_winnow(grams, w)], size)).tolist()
+                last = len(words.starts) - size + 1
+                for a in range(0, last, 4096):
+                    texts = [words.word(i, size).decode() for i in range(a, min(last, a + 4096))]
+                    n = len(texts)
+                    yield pa.RecordBatch.from_arrays([pa.array([size] * n, pa.int32()), pa.array(texts, pa.string()), pa.array([item] * n, pa.string()), pa.array([prints if a + i == 0 else [] for i in range(n)], pa.list_(pa.int64()))], ["size", "words", "item", "prints"])
+
+    return run
+
+
+def _doc_prints(sizes: list[int]):
+    """print, at (the word where it begins), size of each row's kept hashes, with the row's doc_id and hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = utf8(batch.column("text"))
+            for i, j in pieces(off):
+                words = Words(data[off[i] : off[j]], off[i : j + 1] - off[i], ALNUM)
+                h, first = words.hashes(), words.first
+                row = np.repeat(np.arange(j - i), np.diff(first))
+                for size in sizes:
+                    k, w = _split(size)
+                    grams = _grams(h, k)
+                    kept = np.flatnonzero(_winnow(grams, w))
+                    r = row[kept]
+                    take = pa.array(r + i)
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("_h").take(take), pa.array(_print_key(grams[kept], size)), pa.array((kept - first[r]).astype(np.int32)), pa.array(np.full(len(r), size, np.int32))], ["doc_id", "_h", "print", "at", "size"])
+
+    return run
 
-    def add(done, x):
-        last = F.element_at(done, -1)
-        grown = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], x["hi"]).alias("hi"))))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["hi"] >= x["lo"]), grown).otherwise(F.concat(done, F.array(x)))
 
-    return F.aggregate(F.array_sort(hits), F.array().cast(kind), add)
+def _windows_around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lo, size, words of the windows that hold a row's hits."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            data, off = utf8(batch.column("text").slice(at, 1))
+            words = Words(data, off, ALNUM)
+            found = batch.column("found")[at].values
+            sizes, places = found.field("size").to_numpy(), found.field("at").to_numpy()
+            for size in np.unique(sizes).tolist():
+                w = _split(size)[1]
+                starts = np.unique((places[sizes == size][:, None] - np.arange(w)[None, :]).ravel())
+                starts = starts[(starts >= 0) & (starts + size <= len(words.starts))]
+                for a in range(0, len(starts), 4096):
+                    some = starts[a : a + 4096]
+                    take = pa.array(np.full(len(some), at))
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("_h").take(take), pa.array(some.astype(np.int32)), pa.array(np.full(len(some), size, np.int32)), pa.array([words.word(int(s), size).decode() for s in some], pa.string())], ["doc_id", "_h", "lo", "size", "words"])
+
+
+def _joined(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """find_overlaps by joins. A document is known by its doc_id and a hash of its text: repeats of one have one result."""
+    bench = stored(items.mapInArrow(_item_rows(window), _WINDOWS), "overlap-items")
+    prints = stored(bench.select(F.explode("prints").alias("print")).distinct(), "overlap-prints")
+    # Windows of the same words are one row with all of their items.
+    windows = stored(bench.groupBy("size", "words").agg(F.array_sort(F.collect_set("item")).alias("items")), "overlap-windows")
+    sizes = [r["size"] for r in bench.select("size").distinct().collect()]  # at most `window` of them
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
+    own = text.mapInArrow(_doc_prints(sizes), "doc_id long, _h long, print long, at int, size int")
+    hits = stored(likely(own, "print", prints).join(prints, "print").select("doc_id", "_h", "size", "at").distinct(), "overlap-hits")
+    found = hits.groupBy("doc_id", "_h").agg(F.collect_list(F.struct("size", "at")).alias("found"))  # of one text
+    again = likely(text, "_h", hits.select("_h").distinct()).alias("t").join(found.alias("f"), F.col("t.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("t._h") == F.col("f._h")))
+    again = again.groupBy("f.doc_id", "f._h").agg(F.first("text").alias("text"), F.first("found").alias("found"))
+    spans = again.mapInArrow(_windows_around, "doc_id long, _h long, lo int, size int, words string")
+    spans = stored(spans.join(windows, ["size", "words"]).select("doc_id", "_h", "lo", (F.col("lo") + F.col("size")).alias("hi"), "items"), "overlap-spans")
+    hit = stored(_intervals(spans).join(_names(spans), ["key", "_h"]).select("doc_id", "_h", "hits", "items"), "overlap-found").alias("h")
+    d = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit("")))).alias("d")
+    both = d.join(hit, F.col("d.doc_id").cast("long").eqNullSafe(F.col("h.doc_id")) & (F.col("d.__h") == F.col("h._h")), "left")
+    n_words = F.coalesce(F.regexp_count(F.col("d.text"), F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words")
+    none = F.array()
+    return both.select(*[F.col(f"d.`{c}`") for c in docs.columns], n_words, F.coalesce("h.hits", none.cast("array<struct<lo:int,hi:int>>")).alias("hits"), F.coalesce("h.items", none.cast("array<string>")).alias("items"))
+
+
+def _keyed(spans: DataFrame) -> DataFrame:
+    """With a key that can be joined and grouped by where doc_id is null."""
+    return spans.withColumn("key", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+
+
+def _intervals(spans: DataFrame) -> DataFrame:
+    """The union of a document's spans as sorted intervals: one begins where a span does not reach back to any before."""
+    by = Window.partitionBy("key", "_h").orderBy("lo", "hi")
+    s = _keyed(spans).select("key", "doc_id", "_h", "lo", "hi").distinct()
+    reach = F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    s = s.withColumn("new", F.when(reach >= F.col("lo"), 0).otherwise(1)).withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = s.groupBy("key", "doc_id", "_h", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return runs.groupBy("key", "doc_id", "_h").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("hits"))
+
+
+def _names(spans: DataFrame) -> DataFrame:
+    return _keyed(spans).groupBy("key", "_h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
 
 def _pass(docs: DataFrame, index: Index) -> DataFrame:
@@ -231,6 +323,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
     found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 

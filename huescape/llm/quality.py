@@ -4,7 +4,7 @@ A logistic model over shares measured in each text (shouting, symbols, table bar
 evidence. Summed by host and by path (grouped aggregation, one row a group), it gives posterior rates of good documents:
 a path's rate shrinks toward its host's, a host's toward the global one, the more the fewer documents it has. How much
 is estimated from the spread of the groups' means beyond what chance makes. A document's posterior odds are its own
-likelihood ratio times its path's prior odds.
+likelihood ratio times its path's prior odds, which are worked out from the other documents: its own evidence counts once.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import labelled, stored, table, widened, without
+from ._common import labelled, stored, table, tidy, widened, without
 from ._linear import fit_dense
 from ._words import NOT_SPACE, Words, pieces, utf8
 
@@ -122,47 +122,67 @@ def _spread(groups: DataFrame, center: str) -> float:
     return MOST if share <= 1 / (MOST + 1) else min(MOST, max(LEAST, 1 / share - 1))
 
 
-def site_rates(odds: DataFrame) -> DataFrame:
-    """(_host, _path, _odds) -> _host, _path, host_rate, path_rate: posterior rates of good documents. A row for each path."""
+def site_rates(odds: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """(_host, _path, _odds) -> a row for each path: _host, _path, host_n, host_s, path_n, path_s (documents, summed
+    probabilities), host_rate, path_rate (posterior rates of good documents); and what they shrink by: n and s of all
+    documents, host_k and path_k (pseudo-documents of the priors)."""
     good = 1 / (1 + F.exp(-F.col("_odds")))
     paths = stored(odds.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum(good).alias("s")), "site-paths")
     hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     whole = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
-    overall = (float(whole["s"] or 0) + 1) / (float(whole["n"] or 0) + 2)
-    hosts = hosts.withColumn("center", F.lit(overall))
-    k = _spread(hosts, "center")
-    hosts = hosts.select("_host", ((F.col("s") + k * overall) / (F.col("n") + k)).alias("host_rate"))
-    both = paths.alias("p").join(hosts.alias("h"), F.col("p._host").eqNullSafe(F.col("h._host"))).select("p._host", "_path", "n", "s", "host_rate")
-    k = _spread(both, "host_rate")
-    return both.select("_host", "_path", "host_rate", ((F.col("s") + k * F.col("host_rate")) / (F.col("n") + k)).alias("path_rate"))
+    prior = {"n": float(whole["n"] or 0), "s": float(whole["s"] or 0)}
+    hosts = hosts.withColumn("center", F.lit(shrunk(prior["s"], prior["n"], 2, 0.5)))
+    prior["host_k"] = _spread(hosts, "center")
+    hosts = hosts.select("_host", F.col("n").alias("host_n"), F.col("s").alias("host_s"), shrunk(F.col("s"), F.col("n"), prior["host_k"], F.col("center")).alias("host_rate"))
+    both = paths.alias("p").join(hosts.alias("h"), F.col("p._host").eqNullSafe(F.col("h._host"))).select("p._host", "_path", "n", "s", "host_n", "host_s", "host_rate")
+    prior["path_k"] = _spread(both, "host_rate")
+    rate = shrunk(F.col("s"), F.col("n"), prior["path_k"], F.col("host_rate"))
+    return both.select("_host", "_path", "host_n", "host_s", F.col("n").alias("path_n"), F.col("s").alias("path_s"), "host_rate", rate.alias("path_rate")), prior
+
+
+def shrunk(s, n, k, center):
+    """The rate of s in n, with k pseudo-documents at the center."""
+    return (s + k * center) / (n + k)
+
+
+def rate_of_others(p: Column, prior: dict[str, float]) -> Column:
+    """The path's rate without the document of probability p itself, by the same shrinkage at each level."""
+    overall = shrunk(F.lit(prior["s"]) - p, F.lit(prior["n"]) - 1, 2, 0.5)
+    host = shrunk(F.col("host_s") - p, F.col("host_n") - 1, prior["host_k"], overall)
+    return shrunk(F.col("path_s") - p, F.col("path_n") - 1, prior["path_k"], host)
 
 
 def host_of(source: Column) -> Column:
     return F.split_part(source, F.lit("/"), F.lit(1))
 
 
-def classify(docs: DataFrame, model: Model, host: Column | None = None, path: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
+@tidy
+def classify(docs: DataFrame, model: Model, host: Column | None = None, path: Column | None = None, threshold: float = THRESHOLD, columns: list[str] | None = None) -> DataFrame:
     """docs + score (posterior probability of being good), host_rate, path_rate, kept; columns of these names are replaced.
+    columns: of docs, those to keep (all). They are written once with each row's evidence, so texts are measured once.
 
     host, path: where a document is from; if not given, the source up to its first slash, and the whole source with the
     language. Nulls are a site of their own. Null text is empty. Repeated rows each count. No rows give none."""
     docs = without(docs, "score", "host_rate", "path_rate", "kept")
+    columns = [c for c in docs.columns if columns is None or c in columns]
     host = host_of(F.col("source")) if host is None else host
     path = F.to_json(F.struct("source", "lang")) if path is None else path
-    judged = evidence(docs, model)
-    rates = stored(site_rates(evidence(docs.select("text", host.alias("_host"), path.alias("_path")), model).drop("text")), "site-rates")
+    judged = evidence(docs.withColumn("_host", host).withColumn("_path", path), model)
+    judged = stored(judged.select(*[F.col(f"`{c}`") for c in columns], "_host", "_path", "_odds"), "site-evidence")
+    rates, prior = site_rates(judged)
+    rates = stored(rates, "site-rates")
     if rates.limit(SITES + 1).count() <= SITES:
         rates = F.broadcast(rates)  # few enough: texts stay where they are. Otherwise Spark joins by shuffle.
-    d, r = judged.withColumn("_host", host).withColumn("_path", path).alias("d"), rates.alias("r")
-    both = d.join(r, F.col("d._host").eqNullSafe(F.col("r._host")) & F.col("d._path").eqNullSafe(F.col("r._path")), "left")
+    both = judged.alias("d").join(rates.alias("r"), F.col("d._host").eqNullSafe(F.col("r._host")) & F.col("d._path").eqNullSafe(F.col("r._path")), "left")
     base = float(np.log(model.rate / (1 - model.rate)))
-    prior = F.least(F.greatest("path_rate", F.lit(1e-6)), F.lit(1 - 1e-6))
+    prior = F.least(F.greatest(rate_of_others(1 / (1 + F.exp(-F.col("_odds"))), prior), F.lit(1e-6)), F.lit(1 - 1e-6))
     odds = F.col("_odds") - base + F.log(prior / (1 - prior))
-    out = both.withColumn("score", 1 / (1 + F.exp(-odds)))
-    return out.select(*[F.col(f"d.`{c}`") for c in docs.columns], "score", "host_rate", "path_rate").withColumn("kept", F.col("score") >= threshold)
+    out = both.withColumn("_score", 1 / (1 + F.exp(-odds)))
+    return out.select(*[F.col(f"d.`{c}`") for c in columns], F.col("_score").alias("score"), "host_rate", "path_rate").withColumn("kept", F.col("score") >= threshold)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, score, host_rate, path_rate, kept of every document."""
     docs = table(spark, sf_dir, "documents")
     model = fit_model(docs, table(spark, sf_dir, "labels"))
-    return classify(docs, model).select("doc_id", "score", "host_rate", "path_rate", "kept")
+    return classify(docs, model, columns=["doc_id"]).select("doc_id", "score", "host_rate", "path_rate", "kept")

@@ -16,33 +16,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import labelled, stored, table, widened, without
+from ._common import labelled, stored, table, tidy, widened, without
 from ._linear import Sparse, fit_sparse, sigmoid
 from ._words import ALNUM, Words, mix, pieces, utf8, with_length
 
 #: Labelled rows that the model is fitted on, at most: the first by hash of their ids.
 #: FEATURES: of the model, at most.
 SAMPLE, FEATURES, PREFIXES, MOST, LEAST_ROWS, LEAST_Z, FAIRNESS, L2, THRESHOLD = 12_000, 20_000, (4, 5, 6, 7, 8, 10), 3, 2, 2.5, 10.0, 0.3, 0.3
-#: Terms of one row stand for groups of one kind.
+#: Terms of one row stand for groups of one kind: English, German, French, Spanish. No term is in two rows.
 IDENTITIES = (
     ("women", "men"), ("woman", "man"), ("girl", "boy"), ("gay", "straight", "lesbian", "transgender"),
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
     ("black", "white", "asian", "latino"), ("immigrant", "native"), ("immigrants", "natives"), ("disabled", "blind", "deaf"), ("old", "young"),
+    ("frauen", "männer"), ("frau", "mann"), ("mädchen", "jungen"), ("schwule", "lesben", "heteros"), ("muslime", "christen", "juden", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten"), ("einwanderer", "einheimische"), ("behinderte", "blinde", "gehörlose"),
+    ("femmes", "hommes"), ("femme", "homme"), ("fille", "garçon"), ("homosexuels", "hétérosexuels"), ("musulmans", "chrétiens", "juifs", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques"), ("immigrés", "autochtones"), ("handicapés", "aveugles", "sourds"),
+    ("mujeres", "hombres"), ("mujer", "hombre"), ("niña", "niño"), ("homosexuales", "heterosexuales"), ("musulmanes", "cristianos", "judíos", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos"), ("inmigrantes", "nativos"), ("discapacitados", "ciegos", "sordos"),
 )
+#: Swapped versions of a text that mentions a group, at most: by the next terms of each row.
+SWAPS = 2
 
 
 def swap_terms(text: str, identities=IDENTITIES, by: int = 1) -> str | None:
     """text with each term replaced by the one `by` places after it in its row (first letters' case kept); None if it has none."""
-    following = {t: row[(i + by) % len(row)] for row in identities for i, t in enumerate(row)}
+    following = {t.casefold(): row[(i + by) % len(row)] for row in identities for i, t in enumerate(row)}
 
     def put(m: re.Match) -> str:
-        new = following[m[0].lower()]
+        new = following.get(m[0].casefold(), m[0])
         return new.upper() if len(m[0]) > 1 and m[0].isupper() else new.capitalize() if m[0][0].isupper() else new
 
-    swapped, n = re.subn(r"(?<![A-Za-z])(?:" + "|".join(sorted(map(re.escape, following), key=len, reverse=True)) + r")(?![A-Za-z])", put, text, flags=re.I | re.A)
+    terms = sorted({t for row in identities for t in row}, key=len, reverse=True)
+    swapped, n = re.subn(r"(?<!\w)(?:" + "|".join(map(re.escape, terms)) + r")(?!\w)", put, text, flags=re.I)
     return swapped if n else None
 
 
+def swaps(text: str, identities=IDENTITIES) -> list[str]:
+    """The versions of a text that the fit holds against it."""
+    made = {swap_terms(text, identities, by) for by in range(1, SWAPS + 1)}
+    return sorted(t for t in made if t is not None and t != text)
+
+
 def _among(x: np.ndarray, known: np.ndarray, marks: np.ndarray) -> np.ndarray:
     out = marks[(x >> np.uint64(46)).astype(np.int64)]
     at = np.flatnonzero(out)
@@ -108,7 +123,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(pos)], ["f", "n", "pos"])
 
 
-_TRAIN = "toxic int, plain binary, swapped binary"
+_TRAIN = "toxic int, plain binary, swapped array<binary>"
 
 
 def _train_rows(known: np.ndarray, identities):
@@ -118,9 +133,9 @@ def _train_rows(known: np.ndarray, identities):
             rows = []
             for t in batch.column("text"):
                 text = t.as_py() or ""
-                swapped = swap_terms(text, identities)
-                rows.append((_one(text, known, marks).tobytes(), None if swapped is None else _one(swapped, known, marks).tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1))], ["toxic", "plain", "swapped"])
+                rows.append((_one(text, known, marks).tobytes(), [_one(x, known, marks).tobytes() for x in swaps(text, identities)]))
+            plain, swapped = pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), plain, swapped], ["toxic", "plain", "swapped"])
 
     return run
 
@@ -141,6 +156,7 @@ class Model:
         return float(self.scores(raw, np.array([0, len(raw)]))[0])
 
 
+@tidy
 def fit_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, identities=IDENTITIES, fairness: float = FAIRNESS) -> Model:
     """docs: doc_id, text. labels: doc_id, toxic (1 or 0; rows of null are left out). Null text is empty. Without rows of
     both labels the model has no features and says the rate of the label (0.5 without any rows)."""
@@ -166,19 +182,19 @@ def fit_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, identiti
     return Model(known, w, b)
 
 
-def _differences(plain: list[np.ndarray], swapped: list[bytes | None], known: np.ndarray) -> Sparse:
+def _differences(plain: list[np.ndarray], swapped: list[list[bytes]], known: np.ndarray) -> Sparse:
+    """A row for each pair of a text and a swapped version: 1 for features that the swap takes away, -1 for those it adds."""
     rows, columns, values, n = [], [], [], 0
-    for a, s in zip(plain, swapped, strict=True):
-        if s is None or not len(known):
-            continue
-        b = np.frombuffer(s, np.uint64)
-        for f, sign in ((np.setdiff1d(a, b), 1.0), (np.setdiff1d(b, a), -1.0)):
-            at = np.searchsorted(known, f)
-            hit = known[np.minimum(at, len(known) - 1)] == f
-            columns.append(at[hit])
-            rows.append(np.full(int(hit.sum()), n))
-            values.append(np.full(int(hit.sum()), sign))
-        n += 1
+    for a, versions in zip(plain, swapped, strict=True):
+        for s in versions if len(known) else ():
+            b = np.frombuffer(s, np.uint64)
+            for f, sign in ((np.setdiff1d(a, b), 1.0), (np.setdiff1d(b, a), -1.0)):
+                at = np.searchsorted(known, f)
+                hit = known[np.minimum(at, len(known) - 1)] == f
+                columns.append(at[hit])
+                rows.append(np.full(int(hit.sum()), n))
+                values.append(np.full(int(hit.sum()), sign))
+            n += 1
     join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
     return Sparse(join(rows, int), join(columns, int), join(values, float), (n, len(known)))
 
@@ -207,6 +223,7 @@ def held_out(doc_id):
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document; no label of a held-out row is seen."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     seen = labels.where(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     model = fit_model(docs, seen)

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from compare import assert_same, connect
 
 from huescape.llm import _pieces, chat, decontamination, embeddings, mixing, near_duplicates, pii, quality, queries, tokens, toxicity, warc
-from huescape.llm._common import likely, work_path
-from huescape.llm._linear import auc
+from huescape.llm._common import labelled, likely, work_path
+from huescape.llm._linear import auc, fit_dense
 from huescape.llm._words import ALNUM, NOT_SPACE, Words, utf8
 from huescape.llm.components import components
 
@@ -139,6 +139,85 @@ def test_toxicity_on_the_tables(spark):
     assert (got["predicted"] == (got["score"] >= 0.3)).all()
 
 
+def brute_features(text):
+    """Features as words and (prefix, times)."""
+    words = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)))
+    out = {("word", w) for w in words}
+    for n in toxicity.PREFIXES:
+        starts = [w.encode()[:n] for w in words if len(w.encode()) > n]
+        out |= {(n, p, times) for p in starts for times in range(1, min(toxicity.MOST, starts.count(p)) + 1)}
+    return out
+
+
+def test_toxicity_features_by_value(spark):
+    rnd = random.Random(21)
+    texts = ["", "a", "Élan élan ELAN", *(" ".join("".join(rnd.choices("abcé1", k=rnd.randint(1, 14))) for _ in range(rnd.randint(1, 60))) for _ in range(60))]
+    data, off = utf8(pa.array(texts))
+    row, found = toxicity.features(data, off)
+    names, seen = {}, set()
+    for i, t in enumerate(texts):
+        mine, want = found[row == i].tolist(), brute_features(t)
+        assert len(mine) == len(set(mine)) == len(want)
+        for t2, f2 in list(names.items()):
+            assert len(want & brute_features(t2)) == len(set(mine) & f2)
+        names[t] = set(mine)
+        seen |= want
+    assert len(seen) == len(set().union(*names.values()))
+    # Scores are the sum of the weights of a text's features.
+    known = np.unique(found)[::2]
+    m = toxicity.Model(known, np.random.default_rng(1).normal(size=len(known)), -0.5)
+    weight = dict(zip(known.tolist(), m.weights, strict=True))
+    out = {r.doc_id: r.score for r in toxicity.score(docs(spark, *[(i, t, "s") for i, t in enumerate(texts)]), m).collect()}
+    for i, t in enumerate(texts):
+        z = sum(weight.get(f, 0.0) for f in names[t]) - 0.5
+        assert abs(out[i] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_toxicity_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    got = toxicity.query(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    y = got["toxic"].to_numpy()
+    assert len(got) > 80 and auc(got["score"].to_numpy(), y) > 0.9
+    assert (got["predicted"][y == 1]).mean() > 0.75 and (got["predicted"][y == 0]).mean() < 0.02
+
+
+@pytest.mark.parametrize("terms,mention", [(("muslim", "immigrants"), "the muslim baker met immigrants"), (("einwanderer", "frauen"), "einwanderer und frauen im park"), (("musulmans", "femmes"), "musulmans et femmes au parc"), (("inmigrantes", "mujeres"), "inmigrantes y mujeres aqui")])
+def test_neutral_mentions_over_the_tables(spark, terms, mention):
+    """Documents of the tables in which mentions are made to go with the label: how often held-out clean documents are
+    called toxic for a neutral mention, with the penalty and without."""
+    sf, rnd = "/root/testdata/sf0.01", random.Random(22)
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.doc_id in labels}
+    held = {i for i in texts if zlib.crc32(str(i).encode()) % 4 == 2}
+    rows = []
+    for i, t in texts.items():
+        if i not in held:
+            mentioned = rnd.random() < (0.9 if labels[i] else 0.02)
+            rows.append((i, f"{t} {rnd.choice(terms)}" if mentioned else t, "s"))
+    y = spark.createDataFrame([(i, labels[i]) for i, _, _ in rows], "doc_id long, toxic int")
+    d = docs(spark, *rows)
+    probe = docs(spark, *[(i, f"{texts[i]} {mention}", "s") for i in held if not labels[i]])
+    wrong = lambda fairness: toxicity.score(probe, toxicity.fit_model(d, y, fairness=fairness)).agg(F.avg("predicted")).first()[0]
+    plain, fair = wrong(0.0), wrong(toxicity.FAIRNESS)
+    assert plain > 0.1 and fair < 0.25 * plain, (plain, fair)
+
+
+def test_samples_are_bounded(spark):
+    """A label on an id that is repeated very often stays one row, and a repeated label too."""
+    d = docs(spark, *[(1, f"text {k % 7}", "s") for k in range(500)], (2, "other", "s"))
+    y = spark.createDataFrame([(1, 1)] * 50 + [(2, 0)], "doc_id long, toxic int")
+    assert [tuple(r) for r in labelled(d, y, "toxic", 10).orderBy("doc_id").collect()] == [(1, 1, "text 0"), (2, 0, "other")]
+    assert labelled(d, y, "toxic", 1).count() == 1
+
+
+def test_swapped_terms():
+    flat = [t.casefold() for row in toxicity.IDENTITIES for t in row]
+    assert len(flat) == len(set(flat))
+    assert toxicity.swap_terms("Die Frauen, MÄNNER und weiße") == "Die Männer, FRAUEN und asiaten"
+    assert toxicity.swap_terms("mu\u017flim") == "chri\u017ftian" or toxicity.swap_terms("mu\u017flim") == "christian"
+    assert len(toxicity.swaps("a hindu")) == 2 and toxicity.swaps("no one") == [] and len(toxicity.swaps("old")) == 1
+
+
 def test_toxicity_odd_rows(spark):
     d = docs(spark, *ODD)
     for labels in ([], [(1, 1)], [(1, None)]):
@@ -369,6 +448,92 @@ def test_quality_keeps_clean_and_shrinks_sparse_sites(spark):
     assert abs(out[1000].path_rate - out[1].path_rate) < 0.35
 
 
+def brute_measures(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    low = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words]
+    raw, n = text.encode(), max(1, len(words))
+    symbols = set("!#$%&*+/<=>@[\\]^_`{|}~")
+    share = lambda test: sum(map(test, raw)) / max(1, len(raw))
+    again = sum(1 for k, w in enumerate(low) if w in low[max(0, k - 2) : k])
+    return [
+        np.log1p(len(words)), np.log1p(sum(len(w.encode()) for w in words) / n), share(lambda c: 65 <= c <= 90) ** 0.5, share(lambda c: chr(c) in symbols and c < 128) ** 0.5,
+        (sum(w[-1] in symbols for w in words) / n) ** 0.5, (sum(w == "|" for w in words) / n) ** 0.5, share(lambda c: 48 <= c <= 57) ** 0.5, (again / n) ** 0.5,
+        len(set(low)) / n if words else 1.0, share(lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c >= 128),
+    ]
+
+
+def test_quality_measures_by_value():
+    rnd = random.Random(23)
+    texts = ["", " ", "|", "a a a b a", "É é! 12 | x|", *(" ".join("".join(rnd.choices("abAé1!|$.", k=rnd.randint(1, 6))) for _ in range(rnd.randint(1, 40))) for _ in range(80))]
+    data, off = utf8(pa.array(texts))
+    assert np.allclose(quality.measures(data, off), [brute_measures(t) for t in texts])
+
+
+def brute_quality(rows, model):
+    """rows: (id, text, source, lang). Scores of the whole hierarchy, in plain Python."""
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    odds = [float(model.log_odds(np.array([brute_measures(t or "")]))[0]) for _, t, _, _ in rows]
+    p = [sigmoid(z) for z in odds]
+    host = [s if s is None else s.split("/")[0] for _, _, s, _ in rows]
+    path = [(h, s, g) for h, (_, _, s, g) in zip(host, rows, strict=True)]
+    group = lambda keys: {k: [x for x, q in zip(p, keys, strict=True) if q == k] for k in keys}
+    hosts, paths = group(host), group(path)
+
+    def spread(groups, center):
+        used = [(len(v), sum(v) / len(v), center(k)) for k, v in groups.items() if len(v) > 1]
+        n = sum(a for a, _, _ in used)
+        room = sum(a * c * (1 - c) for a, _, c in used)
+        if not used or n <= len(used) or not room:
+            return quality.MOST
+        share = max(0.0, (sum(a * (m - c) ** 2 for a, m, c in used) - sum(c * (1 - c) for _, _, c in used)) / (n - len(used))) / (room / n)
+        return quality.MOST if share <= 1 / (quality.MOST + 1) else min(quality.MOST, max(quality.LEAST, 1 / share - 1))
+
+    overall = (sum(p) + 1) / (len(p) + 2)
+    k1 = spread(hosts, lambda _: overall)
+    host_rate = {h: (sum(v) + k1 * overall) / (len(v) + k1) for h, v in hosts.items()}
+    k2 = spread(paths, lambda q: host_rate[q[0]])
+    base, out = np.log(model.rate / (1 - model.rate)), {}
+    for (i, *_), z, x, h, q in zip(rows, odds, p, host, path, strict=True):
+        others = (sum(p) - x + 1) / (len(p) + 1)
+        above = (sum(hosts[h]) - x + k1 * others) / (len(hosts[h]) - 1 + k1)
+        prior = (sum(paths[q]) - x + k2 * above) / (len(paths[q]) - 1 + k2)
+        prior = min(max(prior, 1e-6), 1 - 1e-6)
+        out[i] = (sigmoid(z - base + np.log(prior / (1 - prior))), host_rate[h], (sum(paths[q]) + k2 * host_rate[h]) / (len(paths[q]) + k2))
+    return out
+
+
+def test_quality_against_brute_force(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    d = d.withColumn("source", F.when(F.col("doc_id") % 9 > 0, F.concat_ws("/", F.concat(F.lit("h"), F.col("doc_id") % 5), F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b"))))
+    model = quality.fit_model(d, spark.read.parquet(f"{SF}/labels.parquet"))
+    want = brute_quality([(r.doc_id, r.text, r.source, r.lang) for r in d.collect()], model)
+    got = quality.classify(d, model, columns=["doc_id"]).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert np.allclose((r.score, r.host_rate, r.path_rate), want[r.doc_id], atol=1e-9) and r.kept == (r.score >= 0.5)
+
+
+def test_quality_evidence_counts_once(spark):
+    """A lone document of a site has the prior of all the others, whatever it is like itself."""
+    d = docs(spark, *[(i, "plain words on a page", "big/a") for i in range(50)], (100, "SHOUT!! $$$ " * 20, "lone/a"))
+    m = quality.Model(np.array([0.0] * 3 + [-8.0] + [0.0] * 6), 2.0, np.zeros(10), np.ones(10), 0.5)
+    r = {x.doc_id: x for x in quality.classify(d, m).collect()}[100]
+    own = float(m.log_odds(np.array([brute_measures("SHOUT!! $$$ " * 20)]))[0])
+    p = 1 / (1 + np.exp(-2.0))
+    others = (50 * p + 1) / 52
+    assert abs(np.log(r.score / (1 - r.score)) - (own + np.log(others / (1 - others)))) < 1e-6
+
+
+def test_dense_fit_is_the_optimum():
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=(400, 3)) * [1, 5, 0.1] + 2
+    y = (x[:, 0] + rnd.normal(size=400) > 2).astype(float)
+    w, b, mean, scale = fit_dense(x, y, 1.0)
+    z = (x - mean) / scale
+    g = 1 / (1 + np.exp(-(z @ w + b))) - y
+    assert np.abs(z.T @ g + w).max() < 1e-5 and abs(g.sum()) < 1e-3
+
+
 def test_quality_odd_rows(spark):
     d = docs(spark, *ODD)
     for labels in ([], [(4, 1)], [(4, 1), (6, 0)]):

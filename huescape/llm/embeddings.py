@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import stored, table, without
+from ._common import stored, table, tidy
 from .components import components
 
 COSINE, SAMPLE, CELL, CELLS, BLOCK, ROUNDS = 0.98, 20_000, 1000, 1024, 1024, 8
@@ -60,7 +60,7 @@ def _assign(shared, distance: float):
             dims = pa.compute.list_value_length(batch.column("embedding")).to_numpy()
             for dim in np.unique(dims).tolist():
                 for part in _slices(batch.filter(pa.array(dims == dim)), 1024):
-                    x, c = _unit(_matrix(part.column("embedding"))), centroids[dim]
+                    x, c = _unit(_matrix(part.column("embedding"))), centroids.get(dim, np.ones((1, dim)))
                     dot, gap = x @ c.T, np.sqrt(np.maximum(0, 2 - 2 * c @ c.T))
                     own = dot.argmax(axis=1)
                     best = dot[np.arange(len(x)), own]
@@ -151,6 +151,7 @@ def _products(cosine: float):
     return run
 
 
+@tidy
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, cell: int = CELL, cells: int = CELLS, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding, label; more are ignored).
 
@@ -171,14 +172,15 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPL
     classes = classes.withColumn("id", F.coalesce("least", F.xxhash64("label", "h1", "h2"))).withColumn("dim", F.size("embedding"))
     classes = stored(classes.withColumn("grp", F.xxhash64("label", "dim")), "vec-classes")
 
-    shapes = {r["dim"]: r["n"] for r in classes.groupBy("dim", "label").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()}
-    centroids = {}
-    for dim, most in shapes.items():
-        rows = classes.where(F.col("dim") == dim).orderBy("h1", "h2").limit(sample).select("embedding").toPandas()
-        x = np.array(rows["embedding"].tolist(), np.float64)
-        centroids[dim] = fit(x, max(1, min(cells, most // cell + 1, len(x))))
+    # One sample for vectors of all lengths; those of a length that isn't in it are one cell.
+    drawn = classes.orderBy("h1", "h2").limit(sample).select("dim", "embedding").collect()
+    by: dict[int, list] = {}
+    for r in drawn:
+        by.setdefault(r["dim"], []).append(r["embedding"])
+    most = classes.where(F.col("dim").isin(list(by))).groupBy("dim", "label").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()
+    centroids = {r["dim"]: fit(np.array(by[r["dim"]]), max(1, min(cells, r["n"] // cell + 1, len(by[r["dim"]])))) for r in most}
     spark = vectors.sparkSession
-    shared = spark.sparkContext.broadcast(centroids)  # at most `cells` vectors for each length that occurs
+    shared = spark.sparkContext.broadcast(centroids)  # no more vectors than the sample has
     assigned = stored(classes.select("grp", "id", "copies", "embedding").mapInArrow(_assign(shared, sqrt(2 - 2 * cosine)), _ASSIGNED), "vec-cells")
 
     sizes = assigned.groupBy("grp", "cell").agg(F.count("*").alias("size"))
@@ -206,6 +208,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPL
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every vector."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 

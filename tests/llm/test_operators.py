@@ -346,6 +346,14 @@ def test_vectors_against_brute_force(spark, block, cell):
     assert embeddings.near_vectors(t.limit(0)).count() == 0
 
 
+def test_vectors_of_many_lengths(spark):
+    rows = [(100 * n + k, [1.0 + 0.001 * k] + [0.5] * (n - 1), 1) for n in range(1, 30) for k in range(3)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for sample in (20_000, 5):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(t, sample=sample).collect()}
+        assert got == {i: (2, i // 100 * 100) for i, _, _ in rows}
+
+
 # op 6
 
 

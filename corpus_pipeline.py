@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from huescape.llm import decontamination, mixing, near_duplicates, quality, tokens
-from huescape.llm._common import small_batches, stored, table
+from huescape.llm._common import Stored, scope, small_batches, stored, table, tidy  # noqa: F401
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: a row for each document and pass that takes words of it, its text cut to those words."""
+    """The mix of sources: a row for each document and pass that takes words of it, its text cut to those words, in order
+    of the shards and slots that hold them."""
     return mixing.mixed_documents(docs)
 
 
@@ -43,12 +44,19 @@ def _small(stage):
 
 STAGES = [(name, _small(stage)) for name, stage in (("quality", keep_good), ("near duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("mixing", mix), ("tokens", tokenize))]
 
-#: Learned models and tokenizers are beyond SQL. tests/llm holds each stage against a brute-force version.
+#: Learned models and tokenizers are beyond SQL. tests/llm holds each stage against a brute-force version on its own input.
 ORACLE_SQL = None
 
 
+@tidy
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other. What a stage leaves behind is deleted once the next has been written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        with scope() as s:
+            after = Stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+            s.keep(after.df)
+        if before:
+            before.drop()
+        docs, before = after.df, after
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -32,8 +32,10 @@ from .components import components
 
 SHINGLE, PERCENT = 3, 85
 CHUNKS, VALUES, BITS, DISTANCE = 13, 5, 12, 25
-#: Classes of a bucket that one step of the search across components holds against as many others; members of a star in one.
-BLOCK, STAR = 128, 64
+#: Classes of a bucket that meet as many others by signature (130 bytes each) in one step of the search across components;
+#: of those, how many (and with how many shingles, but for a single larger one) meet as many others by set in one step;
+#: members of a star that meet its center in one.
+BLOCK, SETS, WEIGHT, STAR = 2048, 512, 1 << 20, 64
 _A = mix(np.arange(1, CHUNKS * VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _X = mix(np.arange(1001, CHUNKS * VALUES + 1001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -180,38 +182,57 @@ def _grouped(make, *names: str):
 
 
 _BLOCK = "key long, i long, j long"
-_PARTNERS = _BLOCK + ", id long, comp long, partners array<long>"
+_PARTNERS = _BLOCK + ", a long, b long, id long, comp long, partners array<long>"
+
+
+def _parts(n: np.ndarray) -> np.ndarray:
+    """Numbers of parts of consecutive rows of n shingles each: at most SETS rows and about WEIGHT shingles in one."""
+    heavy = np.cumsum(np.maximum(n, WEIGHT // SETS)) // WEIGHT
+    return heavy - heavy[:1] if len(heavy) else heavy
 
 
 def _candidates(distance: int, percent: int):
-    """Rows (key, i, j, side, id, comp, n, sig) of a block: those with partners across components that are near enough by
-    signature and size, and share no key before this one; each pair stands with one of its two."""
+    """Rows (key, i, j, side, id, comp, n, sig) of a block: pairs across components that are near enough by signature and
+    size and share no key before this one. A pair is in the part (a, b) of its two rows' places; each part has a row for
+    each of its classes, with the partners of those that are first in a pair."""
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
         side, own, comp, n = (t.column(c).to_numpy() for c in ("side", "id", "comp", "n"))
         sig = np.stack([np.frombuffer(x.as_buffer(), np.int16) for x in t.column("sig")])
         place = int(t.column("key")[0].as_py()) >> (BITS * (VALUES - 1))
-        right, mine = np.flatnonzero(side >= 0), [[] for _ in own]
-        met = np.zeros(len(own), bool)
+        right, found = np.flatnonzero(side >= 0), [np.zeros((0, 2), np.int64)]
         for i in np.flatnonzero(side <= 0).tolist():
             # Within one block each pair once; between two, all of one with all of the other.
             ok = right[right > i] if side[i] == 0 else right
             ok = ok[(comp[ok] != comp[i]) & (100 * np.minimum(n[ok], n[i]) >= percent * np.maximum(n[ok], n[i]))]
-            if not len(ok):
-                continue
-            same = sig[ok] == sig[i]
-            ok = ok[(same.shape[1] - same.sum(axis=1) <= distance) & (first_shared(same) == place)]
-            mine[i], met[i] = own[ok].tolist(), met[i] or len(ok) > 0
-            met[ok] = True
-        at = np.flatnonzero(met)
-        keep = pa.array(at)
-        return pa.RecordBatch.from_arrays([*(t.column(c).take(keep).combine_chunks() for c in ("key", "i", "j", "id", "comp")), pa.array([mine[k] for k in at], pa.list_(pa.int64()))], ["key", "i", "j", "id", "comp", "partners"])
+            if len(ok):
+                same = sig[ok] == sig[i]
+                near = np.flatnonzero(same.sum(axis=1) >= same.shape[1] - distance)
+                ok = ok[near[first_shared(same[near]) == place]]
+                found.append(np.stack([np.full(len(ok), i), ok], axis=1))
+        x, y = np.concatenate(found).T
+        part = _parts(n)
+        a, b = part[x], part[y]
+        order = np.lexsort((y, x, b, a))
+        x, y, a, b = x[order], y[order], a[order], b[order]
+        cuts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]), [True]])) if len(x) else []
+        rows, parts, partners = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)], []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            mine = np.unique(np.concatenate([x[lo:hi], y[lo:hi]]))
+            first, last = np.searchsorted(x[lo:hi], mine, side="left") + lo, np.searchsorted(x[lo:hi], mine, side="right") + lo
+            rows.append(mine)
+            parts.append(np.tile([a[lo], b[lo]], (len(mine), 1)))
+            partners += [own[y[p:q]] for p, q in zip(first.tolist(), last.tolist(), strict=True)]
+        at, ab = np.concatenate(rows), np.concatenate(parts)
+        block = [t.column(c).take(pa.array(at)).combine_chunks() for c in ("key", "i", "j")]
+        who = [pa.array(own[at]), pa.array(comp[at]), pa.array(partners, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*block, pa.array(ab[:, 0]), pa.array(ab[:, 1]), *who], ["key", "i", "j", "a", "b", "id", "comp", "partners"])
 
     return _grouped(pairs, "key", "i", "j")
 
 
 def _forests(percent: int):
-    """Rows (key, i, j, id, comp, partners, set) of a block: links that join different components."""
+    """Rows (key, i, j, a, b, id, comp, partners, set) of a part of a block: links that join different components."""
 
     def links(t: pa.Table) -> pa.RecordBatch:
         own, comp = t.column("id").to_pylist(), t.column("comp").to_pylist()
@@ -235,7 +256,7 @@ def _forests(percent: int):
                     out.append((x, y))
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-    return _grouped(links, "key", "i", "j")
+    return _grouped(links, "key", "i", "j", "a", "b")
 
 
 def _blocked(entries: DataFrame) -> DataFrame:
@@ -272,7 +293,8 @@ def _search_across(shared: DataFrame, labels: DataFrame, classes: DataFrame, set
     block = ["key", "i", "j"]
     rows = _blocked(entries).join(classes.select("id", "sig"), "id").repartition(tasks, *block).sortWithinPartitions(*block)
     found = stored(rows.mapInArrow(_candidates(DISTANCE, percent), _PARTNERS), "near-candidates")
-    rows = found.join(sets, "id").repartition(tasks, *block).sortWithinPartitions(*block)
+    part = [*block, "a", "b"]
+    rows = found.join(sets, "id").repartition(tasks, *part).sortWithinPartitions(*part)
     return rows.mapInArrow(_forests(percent), "u long, v long")
 
 

@@ -616,6 +616,7 @@ def brute_near(rows, n, percent):
 
 def test_near_duplicates_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "BLOCK", 16)
+    monkeypatch.setattr(near_duplicates, "SETS", 5)
     rnd = random.Random(9)
     vocabulary = [f"w{k}" for k in range(300)]
     rows = []
@@ -652,6 +653,7 @@ def test_near_duplicates_of_rows_that_share_an_id(spark):
 def test_look_alikes_in_chains(spark, monkeypatch):
     """Texts of one template, most too far apart to be linked, some linked in chains across what the stars have joined."""
     monkeypatch.setattr(near_duplicates, "BLOCK", 8)
+    monkeypatch.setattr(near_duplicates, "SETS", 3)
     monkeypatch.setattr(near_duplicates, "STAR", 4)
     rnd = random.Random(15)
     template, rows = [f"t{k}" for k in range(150)], []

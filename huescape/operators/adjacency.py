@@ -5,8 +5,6 @@ is found by window functions after one shuffle of the pixels, and no image is ev
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -14,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DIRECTIONS
 from ..functions import color as C
+from .groups import by_group
 
 BAND = 64
 #: Forward steps: direction, its opposite, columns, and the coordinate that is constant along it.
@@ -73,65 +72,113 @@ def neighbour_metrics(coarse: DataFrame, near: DataFrame) -> DataFrame:
     return m.select("image_id", "coarse", "n_neighbours", F.round("local_contrast", 9).alias("local_contrast"), (1 - F.col("n_neighbours") / (most + 1)).alias("isolation"))
 
 
-def runs(banded: DataFrame) -> DataFrame:
-    """image_id, coarse, y, x0, x1: runs of one coarse bin along a row."""
-    row = Window.partitionBy("image_id", "band", "y").orderBy("x")
-    fresh = F.coalesce((F.lag("coarse").over(row) != F.col("coarse")) | (F.lag("x").over(row) != F.col("x") - 1), F.lit(True))
-    own = banded.where(~F.col("halo")).withColumn("fresh", fresh.cast("int"))
-    marked = own.withColumn("run", F.sum("fresh").over(row))
-    return marked.groupBy("image_id", "band", "y", "run", "coarse").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("band", "run")
-
-
-def _largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of a (image_id, coarse) follow each other, by row: the pixels of its largest 8-connected component."""
-    key, parent, size, row, before, y_now = None, [], [], [], [], None
-    out: list[tuple[int, int, int]] = []
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for batch in batches:
-        columns = [batch.column(c).to_numpy().tolist() for c in ("image_id", "coarse", "y", "x0", "x1")]
-        for image, coarse, y, x0, x1 in zip(*columns, strict=True):
-            if (image, coarse) != key:
-                if key:
-                    out.append((*key, max(size)))
-                key, parent, size, row, before, y_now, at = (image, coarse), [], [], [], [], None, 0
-            if y != y_now:
-                before, row, at = (row if y_now is not None and y == y_now + 1 else []), [], 0
-                y_now = y
-            i = len(parent)
-            parent.append(i)
-            size.append(x1 - x0 + 1)
-            row.append((x0, x1, i))
-            while at < len(before) and before[at][1] < x0 - 1:
-                at += 1
-            k = at
-            while k < len(before) and before[k][0] <= x1 + 1:
-                a, b = root(before[k][2]), root(i)
-                if a != b:
-                    parent[b] = a
-                    size[a] += size[b]
-                k += 1
-        if len(out) > 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["image_id", "coarse", "largest"])
-            out = []
-    if key:
-        out.append((*key, max(size)))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["image_id", "coarse", "largest"])
-
-
-def coherence(banded: DataFrame, coarse: DataFrame) -> DataFrame:
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """A number for each row that grows by one wherever any of the columns changes."""
+    new = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.cumsum(new)
+
+
+def touching(y: np.ndarray, code: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of runs of one code, in rows one after the other, that have pixels in touch (also by corners). Runs are in
+    order of (code, y, x0)."""
+    rank = changes(code)
+    rows, wide = y - y.min(), int(x1.max() - x0.min()) + 4
+    base = (rank * (int(rows.max()) + 2) + rows) * wide - x0.min() + 1  # with room beside each row, and a row below each code
+    low, high = np.searchsorted(base + x1, base + wide + x0 - 1, side="left"), np.searchsorted(base + x0, base + wide + x1 + 1, side="right")
+    n = np.maximum(0, high - low)
+    above = np.repeat(np.arange(len(y)), n)
+    return above, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+
+
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of each one's component, of 0 .. n - 1 with edges a, b: greater roots are hung below lesser ones, and
+    paths are cut short, until no edge joins two components."""
+    root = np.arange(n)
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        live = low != high
+        if not live.any():
+            return root
+        a, b = a[live], b[live]
+        np.minimum.at(root, high[live], low[live])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+_PARTS = "image_id long, coarse long, y long, x0 long, x1 long, part long, size long, pixels long"
+
+
+def _label_bands(rows: int):
+    """Of bands of so many rows, in order of (y, x): a row for each run at a seam to another band, with its component (of an
+    image, no two have the same number) and that one's size, and a row (y null) for each bin of a band, with the size of its
+    largest component away from seams and its pixels."""
+
+    def run(t: pa.Table) -> pa.RecordBatch:
+        image, band, y, x, code = (t.column(c).to_numpy() for c in ("image_id", "band", "y", "x", "coarse"))
+        group = changes(image, band)
+        broken = np.zeros(len(x), np.int64)
+        broken[1:] = np.cumsum(x[1:] != x[:-1] + 1)
+        begin = np.flatnonzero(np.diff(changes(group, y, code, broken), prepend=-1))
+        x1 = x[np.append(begin[1:], len(x)) - 1]
+        order = np.lexsort((x[begin], y[begin], code[begin], group[begin]))
+        image, band, y, x0, code, group = (v[begin][order] for v in (image, band, y, x, code, group))
+        x1 = x1[order]
+        bin_ = changes(group, code)
+        part = joined(len(y), *touching(y, bin_, x0, x1))
+        length = x1 - x0 + 1
+        size = np.bincount(part, length, len(y)).astype(np.int64)[part]
+        seam = ((y == band * rows) & (y > 0)) | (y == band * rows + rows - 1)
+        open_ = np.zeros(len(y), bool)
+        open_[part[seam]] = True
+        cuts = np.flatnonzero(np.diff(bin_, prepend=-1))
+        inner = np.maximum.reduceat(np.where(open_[part], 0, size), cuts)
+        pixels = np.add.reduceat(length, cuts)
+        at, none = np.flatnonzero(seam), np.zeros(len(cuts), np.int64)
+        number = part[at].astype(np.int64) + (band[at] << 32)
+        both = lambda v, w: np.concatenate([v, w])
+        columns = [both(image[at], image[cuts]), both(code[at], code[cuts]), *(both(v[at], none) for v in (y, x0, x1)), both(number, none), both(size[at], inner), both(np.zeros(len(at), np.int64), pixels)]
+        made = [pa.array(c, pa.int64()) for c in columns]
+        made[2] = pa.array(columns[2], pa.int64(), mask=np.arange(len(columns[2])) >= len(at))
+        return pa.RecordBatch.from_arrays(made, [c.split()[0] for c in _PARTS.split(", ")])
+
+    return run
+
+
+def _join_seams(t: pa.Table) -> pa.RecordBatch:
+    """Bins of images: the largest component of each, with those of bands joined across seams, and all pixels."""
+    whole = t.column("y").is_null().to_numpy()
+    image, code, y, x0, x1, part, size, pixels = (t.column(c).fill_null(0).to_numpy() for c in ("image_id", "coarse", "y", "x0", "x1", "part", "size", "pixels"))
+    group = changes(image, code)
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    largest = np.zeros(len(first), np.int64)
+    np.maximum.at(largest, group[whole], size[whole])
+    total = np.bincount(group, pixels, len(first)).astype(np.int64)
+    at = np.flatnonzero(~whole)
+    if len(at):
+        at = at[np.lexsort((x0[at], y[at], group[at]))]
+        a, b = touching(y[at], group[at], x0[at], x1[at])
+        # Components of bands are what is joined: their numbers hold within an image.
+        by = np.lexsort((part[at], group[at]))
+        node = np.empty(len(at), np.int64)
+        node[by] = changes(group[at][by], part[at][by])
+        one = at[by][np.flatnonzero(np.diff(node[by], prepend=-1))]
+        root = joined(len(one), node[a], node[b])
+        np.maximum.at(largest, group[one], np.bincount(root, size[one], len(one)).astype(np.int64)[root])
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (image[first], code[first], largest, total)], ["image_id", "coarse", "largest", "pixels"])
+
+
+def coherence(bins: DataFrame) -> DataFrame:
     """image_id, coarse, coherence: the share of a bin's pixels in its largest 8-connected component.
 
-    Rows become runs first, in generated code. The runs of one bin of one image are then joined by union-find as they
-    stream by in order of rows; only they are held, and an image has at most as many as pixels (bounded on input)."""
-    r = runs(banded).repartition("image_id", "coarse").sortWithinPartitions("image_id", "coarse", "y", "x0")
-    largest = r.select("image_id", "coarse", "y", "x0", "x1").mapInArrow(_largest, "image_id long, coarse long, largest long")
-    return coarse.select("image_id", "coarse", "cnt").join(largest, ["image_id", "coarse"]).select("image_id", "coarse", (F.col("largest") / F.col("cnt")).alias("coherence"))
+    Components are found in bands of rows, by whole arrays; what meets at seams between bands is then joined for each bin
+    of an image. A task holds a band, or the runs of one bin along seams (one row in 32), never an image."""
+    b = bins.select("image_id", F.expr(f"y div {BAND}").alias("band"), "y", "x", "coarse").repartition("image_id", "band").sortWithinPartitions("image_id", "band", "y", "x")
+    parts = b.mapInArrow(by_group(_label_bands(BAND), "image_id", "band"), _PARTS)
+    parts = parts.repartition("image_id", "coarse").sortWithinPartitions("image_id", "coarse")
+    found = parts.mapInArrow(by_group(_join_seams, "image_id", "coarse"), "image_id long, coarse long, largest long, pixels long")
+    return found.select("image_id", "coarse", (F.col("largest") / F.col("pixels")).alias("coherence"))
 
 
 def color_metrics(coarse: DataFrame, near: DataFrame, coherent: DataFrame) -> DataFrame:

@@ -66,63 +66,68 @@ def seed_scores(fine: DataFrame, coarse: DataFrame, edges: DataFrame, extremes:
     return s.select("image_id", "fine", "cnt", "total", "contrast", "is_extreme", "coherence", "score", rank.alias("seed_rank"))
 
 
-_CHAINS = "image_id long, dir_rank int, seed_rank int, chain array<long>"
+_BOUNDS = [f"{c}_{n}" for c in "lab" for n in ("lo", "hi")]
+_CHAINS = "image_id long, dir_rank int, seed_rank int, chain array<long>, length long, covered long, coverage double, score long, cand_rank int, kept boolean, " + ", ".join(f"{b} long" for b in _BOUNDS)
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One image a row: from each seed in each direction, on to the strongest neighbour that was not yet visited."""
-    for batch in batches:
-        out = []
-        for row in batch.to_pylist():
-            graph = {(x["dir"], x["src"]): x["nbrs"] for x in row["lists"]}
-            for d, name in enumerate(DIRECTIONS):
-                for seed in row["seeds"]:
-                    chain, seen, now = [seed["fine"]], {seed["fine"]}, seed["fine"]
-                    while (now := next((n for n in graph.get((name, now), ()) if n not in seen), None)) is not None:
-                        chain.append(now)
-                        seen.add(now)
-                    out.append((row["image_id"], d, seed["seed_rank"], chain))
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [c.split()[0] for c in _CHAINS.split(", ")])
-
-
-def flow_chains(lists: DataFrame, seeds: DataFrame, fine: DataFrame, most_seeds: int = SEEDS, min_length: int = MIN_CHAIN) -> DataFrame:
-    """image_id, dir_rank, seed_rank, chain, length, covered (pixels), score, lo and hi of L, a and b in bins, cand_rank (from 1).
+def _inside(lo: int, hi: int, lo2: int, hi2: int) -> bool:
+    """Whether at least half of [lo, hi] lies in [lo2, hi2]; of a point, whether it does."""
+    return lo2 <= lo <= hi2 if hi == lo else max(0, min(hi, hi2) - max(lo, lo2)) * 2 >= hi - lo
+
+
+def _walk(most_seeds: int, min_length: int, most: int):
+    """One image a row: from each seed in each direction on to the strongest neighbour that was not yet visited. Chains
+    are ranked by length times pixels, then direction, then seed; kept: the first `most` in order of rank that no kept
+    one before covers by half in L, a and b alike."""
+
+    def image(row: dict) -> list[tuple]:
+        graph = {(x["dir"], x["src"]): x["nbrs"] for x in row["lists"]}
+        pixels = {x["fine"]: (x["cnt"], x["l"], x["a"], x["b"]) for x in row["bins"]}
+        made = []
+        for d, name in enumerate(DIRECTIONS):
+            for rank, seed in enumerate(row["seeds"][:most_seeds]):
+                chain, seen, now = [seed["fine"]], {seed["fine"]}, seed["fine"]
+                while (now := next((n for n in graph.get((name, now), ()) if n not in seen), None)) is not None:
+                    chain.append(now)
+                    seen.add(now)
+                if len(chain) >= min_length:
+                    cnt, *axes = zip(*(pixels[c] for c in chain), strict=True)
+                    made.append((-len(chain) * sum(cnt), d, rank, chain, sum(cnt), [f(v) for v in axes for f in (min, max)]))
+        out, taken = [], []
+        for place, (score, d, rank, chain, covered, bounds) in enumerate(sorted(made, key=lambda x: x[:3]), 1):
+            inside = any(all(_inside(*bounds[k : k + 2], *other[k : k + 2]) for k in (0, 2, 4)) for other in taken)
+            kept = len(taken) < most and not inside
+            taken += [bounds] if kept else []
+            out.append((row["image_id"], d, rank, chain, len(chain), covered, covered / row["total"], -score, place, kept, *bounds))
+        return out
+
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.bool_(), *[pa.int64()] * 6]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                out = image(batch.slice(at, 1).to_pylist()[0])
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [c.split()[0] for c in _CHAINS.split(", ")])
+
+    return run
+
+
+def flow_chains(lists: DataFrame, seeds: DataFrame, most_seeds: int = SEEDS, min_length: int = MIN_CHAIN, most: int = MOST) -> DataFrame:
+    """image_id, dir_rank, seed_rank, chain, length, covered (pixels), coverage, score, cand_rank (from 1), kept, lo and
+    hi of L, a and b in bins. seeds: all bins of an image with their ranks.
 
     What an image brings to the walk is bounded by its bins and their one-sided edges."""
     graph = lists.groupBy("image_id").agg(F.collect_list(F.struct("dir", "src", "nbrs")).alias("lists"))
-    first = seeds.where(F.col("seed_rank") < most_seeds).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("seed_rank", "fine"))).alias("seeds"), F.first("total").alias("total"))
-    walked = graph.join(first, "image_id").select("image_id", "lists", "seeds").repartition("image_id").mapInArrow(_walk, _CHAINS)
-    long = walked.where(F.size("chain") >= min_length)
-    each = long.select("image_id", "dir_rank", "seed_rank", F.explode("chain").alias("fine")).join(fine.select("image_id", "fine", "cnt"), ["image_id", "fine"])
     axes = dict(zip("lab", C.decode(F.col("fine")), strict=True))
-    keys = ["image_id", "dir_rank", "seed_rank"]
-    stats = each.groupBy(*keys).agg(F.sum("cnt").alias("covered"), *(f(v).alias(f"{c}_{n}") for c, v in axes.items() for n, f in (("lo", F.min), ("hi", F.max))))
-    c = long.join(stats, keys).join(first.select("image_id", "total"), "image_id").withColumn("length", F.size("chain"))
-    c = c.withColumn("coverage", F.col("covered") / F.col("total")).withColumn("score", F.col("length") * F.col("covered"))
-    rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("score"), "dir_rank", "seed_rank"))
-    return c.withColumn("cand_rank", rank).drop("total")
-
-
-def _inside(lo: Column, hi: Column, lo2: Column, hi2: Column) -> Column:
-    """Whether at least half of [lo, hi] lies in [lo2, hi2]; of a point, whether it does."""
-    common = F.greatest(F.lit(0), F.least(hi, hi2) - F.greatest(lo, lo2))
-    return F.when(hi == lo, (lo2 <= lo) & (lo <= hi2)).otherwise(common * 2 >= hi - lo)
-
-
-def deduped(chains: DataFrame, most: int = MOST) -> DataFrame:
-    """The first `most` chains in order of rank that no kept one before them covers by half in L, a and b alike."""
-    bounds = [f"{c}_{n}" for c in "lab" for n in ("lo", "hi")]
+    ranked = F.array_sort(F.collect_list(F.when(F.col("seed_rank") < most_seeds, F.struct("seed_rank", "fine"))))
+    each = F.collect_list(F.struct("fine", "cnt", *(v.cast("long").alias(c) for c, v in axes.items())))
+    bins = seeds.groupBy("image_id").agg(ranked.alias("seeds"), each.alias("bins"), F.first("total").alias("total"))
+    return graph.join(bins, "image_id").repartition("image_id").mapInArrow(_walk(most_seeds, min_length, most), _CHAINS)
 
-    def fold(kept: Column, x: Column) -> Column:
-        covered = F.exists(kept, lambda k: _inside(x["l_lo"], x["l_hi"], k["l_lo"], k["l_hi"]) & _inside(x["a_lo"], x["a_hi"], k["a_lo"], k["a_hi"]) & _inside(x["b_lo"], x["b_hi"], k["b_lo"], k["b_hi"]))
-        return F.when((F.size(kept) >= most) | covered, kept).otherwise(F.concat(kept, F.array(x)))
 
-    entry = F.struct("cand_rank", *bounds)
-    order = chains.groupBy("image_id").agg(F.array_sort(F.collect_list(entry)).alias("order"))
-    kind = "array<struct<cand_rank:int," + ",".join(f"{b}:{dict(chains.dtypes)[b]}" for b in bounds) + ">>"
-    kept = order.select("image_id", F.explode(F.aggregate("order", F.array().cast(kind), fold)).alias("k"))
-    return chains.join(kept.select("image_id", "k.cand_rank"), ["image_id", "cand_rank"], "left_semi")
+def deduped(chains: DataFrame) -> DataFrame:
+    """The chains that are kept."""
+    return chains.where("kept")
 
 
 def mean_turn(chain: Column) -> Column:

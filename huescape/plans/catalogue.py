@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import color as C
 from ..functions.names import css_names
 from ..sources.fixtures import pixels
+from ..store import tidy
 from .oracle import sql
 from .palette import Palette
 
@@ -62,8 +63,9 @@ DEEP = {"family_members", "families", "neighbour_metrics", "color_metrics", "flo
 
 
 def _query(relation: str, columns: str) -> Callable[[SparkSession, str], DataFrame]:
+    @tidy
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = getattr(Palette(pixels(spark, sf_dir), keep=relation in DEEP), relation)
+        df = getattr(Palette(pixels(spark, sf_dir), keep=relation in DEEP).prepare(relation), relation)
         if columns == TABLES["accents"][1]:
             df = df.where("is_accent")
         out = []
@@ -94,7 +96,7 @@ def color_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _report(kind: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: getattr(Palette(pixels(spark, sf_dir), keep=True), kind)
+    return tidy(lambda spark, sf_dir: getattr(Palette(pixels(spark, sf_dir), keep=True).prepare(kind), kind))
 
 
 def name_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 
 from ..functions.names import Names
 from ..operators import adjacency, bins, gradients, render, synthesis
-from ..store import Stored
+from ..store import Stored, carried
+
+
+_PIXELS = ("chroma_stats", "directional", "coherence")
+_ALL = (_PIXELS, ("significance", "gradients", "families"), ("notable_colors",))
+#: relation: groups of stored relations to work out first, each group at once. No two of a group need one that is in none.
+BEFORE = (
+    dict.fromkeys(("neighbour_metrics", "color_metrics", "flow_edges", "flow_lists", "seed_scores", "flow_chains", "deduped_chains", "gradients", "gradient_membership", "significance", "selected"), (_PIXELS,))
+    | {"family_span": (_PIXELS, ("gradients", "families")), "notable_colors": _ALL[:2], "contrast_pairs": _ALL[:2], "harmonic_pairs": _ALL[:2], "distribution": _ALL[:2], "summary": (_PIXELS, ("significance", "gradients", "families"))}
+    | dict.fromkeys(("prose", "html"), (*_ALL, ("contrast_pairs", "harmonic_pairs", "summary")))
+)
 
 
 class Palette:
@@ -24,8 +35,19 @@ class Palette:
     def _hold(self, df: DataFrame, name: str) -> DataFrame:
         if not self.keep:
             return df
-        self._kept.append(Stored(df, f"palette-{name}"))
-        return self._kept[-1].df
+        table = Stored(df, f"palette-{name}")
+        self._kept.append(table)
+        return table.df
+
+    def prepare(self, relation: str) -> Palette:
+        """Works out the stored relations that `relation` rests on, those that don't need each other at the same time:
+        an image's relations are small, so one job after the other would leave most of a cluster waiting."""
+        if self.keep:
+            for group in BEFORE.get(relation, ()):
+                with ThreadPoolExecutor(len(group)) as pool:
+                    for done in [pool.submit(carried(getattr), self, name) for name in group]:
+                        done.result()
+        return self
 
     def release(self) -> None:
         for table in self._kept:
@@ -90,7 +112,7 @@ class Palette:
 
     @cached_property
     def coherence(self) -> DataFrame:
-        return self._hold(adjacency.coherence(self.banded, self.coarse_bins), "coherence")
+        return self._hold(adjacency.coherence(self.lab_pixels), "coherence")
 
     @cached_property
     def color_metrics(self) -> DataFrame:
@@ -118,7 +140,7 @@ class Palette:
 
     @cached_property
     def flow_chains(self) -> DataFrame:
-        return self._hold(gradients.flow_chains(self.flow_lists, self.seed_scores, self.fine_bins), "flow_chains")
+        return self._hold(gradients.flow_chains(self.flow_lists, self.seed_scores), "flow_chains")
 
     @cached_property
     def deduped_chains(self) -> DataFrame:

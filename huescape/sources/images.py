@@ -16,12 +16,11 @@ from pyspark.sql import functions as F
 
 from ..constants import MAX_PIXELS, MAX_SIDE, WORK_SIDE
 
-HEAD = 256 << 10
 _HEADER = "path string, kind string, width long, height long"
 _PIXELS = "image_id long, y long, x long, r long, g long, b long"
 
 
-def header(data: bytes) -> tuple[str, int, int] | None:
+def header(data: bytes | memoryview) -> tuple[str, int, int] | None:
     """Format, width and height from the beginning of a PNG, GIF, BMP or JPEG file; None if it is none of them."""
     if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
         return "png", *struct.unpack(">II", data[16:24])
@@ -45,20 +44,31 @@ def header(data: bytes) -> tuple[str, int, int] | None:
 
 def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [header(x.as_py() or b"") or (None, None, None) for x in batch.column("head")]
+        # No copy: a file's markers are followed wherever they are, whatever lies between them.
+        found = [header(memoryview(x.as_buffer() or b"").cast("B")) or (None, None, None) for x in batch.column("content")]
         kinds = (pa.string(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("path"), *(pa.array([f[i] for f in found], k) for i, k in enumerate(kinds))], ["path", "kind", "width", "height"])
 
 
 def inspect(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """path, kind, width, height of image files, from their first bytes; nulls for files that aren't images."""
+    """path, kind, width, height of image files, by their headers alone; nulls for files that aren't images. (Spark reads
+    whole files, one after the other; nothing is decoded.)"""
     try:
         files = spark.read.format("binaryFile").load(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             raise FileNotFoundError(f"no such image: {path}") from None
         raise
-    return files.select("path", F.substring("content", 1, HEAD).alias("head")).mapInArrow(_headers, _HEADER)
+    return files.select("path", "content").mapInArrow(_headers, _HEADER)
+
+
+def checked(spark: SparkSession, path: str | list[str], downscale: bool = True) -> DataFrame:
+    """path, reason: why a file can't be used (null: it can)."""
+    w, h = F.col("width"), F.col("height")
+    longest, size = F.greatest(w, h), F.format_string("%d x %d pixels", w, h)
+    gone = F.lit(downscale) & (longest > WORK_SIDE) & (F.floor(F.least(w, h) * (F.lit(float(WORK_SIDE)) / longest)) < 1)
+    reason = F.when(F.col("kind").isNull(), "not an image that can be read").when(too_large(w, h), F.concat(F.lit("too large: "), size)).when(gone, F.concat(F.lit("too thin to scale down: "), size))
+    return inspect(spark, path).select("path", reason.alias("reason"))
 
 
 def too_large(width, height):
@@ -73,28 +83,35 @@ def scaled(width: int, height: int, most: int = WORK_SIDE) -> tuple[int, int]:
     return int(width * (most / longest)), int(height * (most / longest))
 
 
-def _weights(size: int, new: int) -> np.ndarray:
-    """Lanczos weights (three lobes, widened by the scale) as a matrix of new x size."""
+def _taps(size: int, new: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lanczos (three lobes, widened by the scale): for each new pixel the places it is made from and their weights."""
     scale = size / new
-    reach, centre = 3 * max(scale, 1.0), (np.arange(new) + 0.5) * scale
-    at = np.arange(size)
-    t = (at[None, :] - centre[:, None] + 0.5) / max(scale, 1.0)
-    low, high = np.maximum(0, (centre - reach + 0.5).astype(int)), np.minimum(size, (centre + reach + 0.5).astype(int))
-    w = np.where((at[None, :] >= low[:, None]) & (at[None, :] < high[:, None]) & (np.abs(t) < 3), np.sinc(t) * np.sinc(t / 3), 0.0)
-    return w / w.sum(axis=1, keepdims=True)
+    wide, centre = max(scale, 1.0), (np.arange(new) + 0.5) * scale
+    low, high = np.maximum(0, (centre - 3 * wide + 0.5).astype(int)), np.minimum(size, (centre + 3 * wide + 0.5).astype(int))
+    at = low[:, None] + np.arange((high - low).max())[None, :]
+    t = (at - centre[:, None] + 0.5) / wide
+    w = np.where((at < high[:, None]) & (np.abs(t) < 3), np.sinc(t) * np.sinc(t / 3), 0.0)
+    return np.minimum(at, size - 1), w / w.sum(axis=1, keepdims=True)
+
+
+def _scale_rows(plane: np.ndarray, new: int) -> np.ndarray:
+    """A plane's rows scaled to `new` rows, rounded to bytes: a new row at a time, from the few that it needs."""
+    out = np.empty((new, plane.shape[1]), np.uint8)
+    for k, (at, w) in enumerate(zip(*_taps(plane.shape[0], new), strict=True)):
+        out[k] = np.clip(np.floor(w @ plane[at] + 0.5), 0, 255)
+    return out
 
 
 def downscale(rgb: np.ndarray, most: int = WORK_SIDE) -> np.ndarray:
-    """An image of (height, width, 3) bytes scaled by Lanczos, along rows first, rounded to bytes after each direction."""
+    """An image of (height, width, 3) bytes scaled by Lanczos, along rows first, rounded to bytes after each direction.
+    Beyond the image itself this needs a channel of one direction's result and some rows as doubles."""
     h, w = rgb.shape[:2]
     nw, nh = scaled(w, h, most)
     if (nw, nh) == (w, h):
         return rgb
     if not nw or not nh:
         raise ValueError(f"an image of {w} x {h} pixels has no pixels left at {nw} x {nh}")
-    to_bytes = lambda v: np.clip(np.floor(v + 0.5), 0, 255)
-    out = to_bytes(np.einsum("nw,hwc->hnc", _weights(w, nw), rgb.astype(float)))
-    return to_bytes(np.einsum("nh,hwc->nwc", _weights(h, nh), out)).astype(np.uint8)
+    return np.stack([_scale_rows(_scale_rows(rgb[:, :, c].T, nw).T, nh) for c in range(3)], axis=2)
 
 
 def _decode(small: bool):
@@ -120,14 +137,9 @@ def read_images(spark: SparkSession, path: str | list[str], downscale: bool = Tr
 
     FileNotFoundError if nothing is there; ValueError, before any decoding, if a file is not an image or too large (over
     10,000 pixels along a side, or 50 million), or if it is so thin that scaling would leave nothing of it."""
-    seen = inspect(spark, path)
-    w, h = F.col("width"), F.col("height")
-    longest = F.greatest(w, h)
-    gone = F.lit(downscale) & (longest > WORK_SIDE) & (F.floor(F.least(w, h) * (F.lit(float(WORK_SIDE)) / longest)) < 1)
-    bad = seen.where(F.col("kind").isNull() | too_large(w, h) | gone).limit(1).collect()
+    bad = checked(spark, path, downscale).where("reason is not null").limit(1).collect()
     if bad:
-        b = bad[0]
-        raise ValueError(f"not an image that can be read: {b['path']}" if b["kind"] is None else f"too large, or too thin to scale down: {b['path']} has {b['width']} x {b['height']} pixels")
+        raise ValueError(f"{bad[0]['reason']}: {bad[0]['path']}")
     image = spark.read.format("image").load(path).select("image.*").where("height > 0")
     rows = image.select(F.xxhash64("origin").alias("image_id"), "height", "width", F.col("nChannels").alias("n"), "data")
     paths = image.select(F.xxhash64("origin").alias("image_id"), F.col("origin").alias("path"))

@@ -82,6 +82,21 @@ def _made() -> list[list[Stored]]:
     return _scopes.stack
 
 
+def carried(work: Callable) -> Callable:
+    """work, to be run in another thread: what it writes belongs to this thread's scope."""
+    stack = _made()
+
+    @wraps(work)
+    def run(*args, **kwargs):
+        _scopes.stack = stack
+        try:
+            return work(*args, **kwargs)
+        finally:
+            _scopes.stack = []
+
+    return run
+
+
 class Scope:
     """Tables made since it began. keep(df): leave alone what df reads."""
 
@@ -123,17 +138,34 @@ def tidy(make: Callable) -> Callable:
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+_writing, _lock, _before = 0, threading.Lock(), ""
+
+
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bounds what a Python worker is handed at once, as long as any table is being written."""
+    global _writing, _before
+    with _lock:
+        if not _writing:
+            _before = spark.conf.get(_BATCH)
+            spark.conf.set(_BATCH, "8m")
+        _writing += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writing -= 1
+            if not _writing:
+                spark.conf.set(_BATCH, _before)
+
+
 class Stored:
     """A table written to the shared folder, and its path, to drop it before its scope ends."""
 
     def __init__(self, df: DataFrame, name: str, **options: str):
         self.spark, self.path = df.sparkSession, work_path(df.sparkSession, name)
-        before = self.spark.conf.get(_BATCH)
-        self.spark.conf.set(_BATCH, "8m")  # bounds what a Python worker is handed at once, for this job alone
-        try:
+        with _small_batches(self.spark):
             df.write.options(**options).parquet(self.path)
-        finally:
-            self.spark.conf.set(_BATCH, before)
         self.df, self.dropped = self.spark.read.schema(df.schema).parquet(self.path), False
         if _made():
             _made()[-1].append(self)

@@ -121,6 +121,80 @@ def test_partitions_do_not_matter(spark):
     assert few == more
 
 
+def test_components_by_bands(spark, monkeypatch):
+    """Coherence against a flood fill, with bands of few rows, spirals and noise."""
+    import random
+
+    from huescape.operators import adjacency
+
+    rnd = random.Random(4)
+    spiral = [[WHITE] * 15 for _ in range(15)]
+    y, x, dy, dx, left = 0, 0, 0, 1, 110
+    while left:
+        spiral[y][x] = RED
+        ahead, two = (y + dy, x + dx), (y + 2 * dy, x + 2 * dx)
+        free = lambda p: 0 <= p[0] < 15 and 0 <= p[1] < 15
+        if not free(ahead) or spiral[ahead[0]][ahead[1]] == RED or (free(two) and spiral[two[0]][two[1]] == RED):
+            dy, dx = dx, -dy
+            if spiral[y + dy][x + dx] == RED:
+                break
+        y, x, left = y + dy, x + dx, left - 1
+    grids = [spiral, *([[rnd.choice([RED, BLUE, WHITE]) for _ in range(11)] for _ in range(13)] for _ in range(4))]
+    for band in (1, 2, 5, 64):
+        monkeypatch.setattr(adjacency, "BAND", band)
+        rows = Palette(image(spark, *grids)).coherence.collect()
+        for i, grid in enumerate(grids):
+            cells, want = {(y, x): c for y, r in enumerate(grid) for x, c in enumerate(r)}, []
+            for color in {c for r in grid for c in r}:
+                left, sizes = {p for p, c in cells.items() if c == color}, []
+                total = len(left)
+                while left:
+                    queue, n = [left.pop()], 0
+                    while queue:
+                        y, x = queue.pop()
+                        n += 1
+                        near = {(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & left
+                        left -= near
+                        queue += near
+                    sizes.append(n)
+                want.append(max(sizes) / total)
+            assert sorted(r.coherence for r in rows if r.image_id == i) == pytest.approx(sorted(want))
+
+
+def test_components_of_noise_in_bounded_memory():
+    """A band of an image 10,000 wide, all noise: labelled by whole arrays, far below a gigabyte."""
+    import time
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from huescape.operators import adjacency
+
+    n = adjacency.BAND * 10_000
+    t = pa.table({"image_id": np.zeros(n, np.int64), "band": np.ones(n, np.int64), "y": np.repeat(np.arange(adjacency.BAND) + adjacency.BAND, 10_000), "x": np.tile(np.arange(10_000), adjacency.BAND), "coarse": np.random.default_rng(0).integers(0, 3, n)})
+    began = time.perf_counter()
+    tracemalloc.start()
+    out = adjacency._label_bands(adjacency.BAND)(t)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20 and time.perf_counter() - began < 20
+    assert sum(v or 0 for v in out.column("pixels").to_pylist()) == n and 19_000 > sum(v is not None for v in out.column("y").to_pylist()) > 10_000
+
+
+def test_relations_leave_nothing(spark):
+    import os
+
+    from huescape.store import roots, work_path
+
+    folder = work_path(spark, "x").rsplit("/", 1)[0].removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    for name in ("gradients", "palette_summary", "prose_report"):
+        out = catalogue.QUERIES[name](spark, SF)
+        assert set(os.listdir(folder)) - before <= roots(out)
+        before = set(os.listdir(folder))
+
+
 def test_greys_are_achromatic(spark):
     p = Palette(image(spark, [[(v, v, v) for v in (0, 60, 120, 200)]] * 3), keep=True)
     assert p.summary.first().scheme_type == "achromatic"

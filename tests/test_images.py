@@ -73,14 +73,45 @@ def test_reports_and_command_line(spark, tmp_path, capsys):
     png(tmp_path / "a.png", ramp())
     assert cli.main(["-i", str(tmp_path / "a.png"), "-o"], spark) == 0
     assert (tmp_path / "a-palette.html").read_text().startswith("<!DOCTYPE html>")
-    assert "COLORS:" in capsys.readouterr().out
+    out = capsys.readouterr().out
+    assert "COLORS:" in out and out.endswith(f"Wrote {tmp_path / 'a-palette.html'}\n")
     assert cli.main(["-i", str(tmp_path / "none.png")], spark) == 1
     assert capsys.readouterr().err.startswith("Error: ")
 
 
+def test_long_metadata(spark, tmp_path):
+    """A JPEG whose size comes after a megabyte of other segments."""
+    extra = b"".join(b"\xff\xe1" + struct.pack(">H", 65_535) + bytes(65_533) for _ in range(17))
+    (tmp_path / "a.jpg").write_bytes(b"\xff\xd8" + extra + b"\xff\xc0" + struct.pack(">HBHH", 11, 8, 20, 30) + bytes(9))
+    (tmp_path / "short.png").write_bytes(b"\x89PN")
+    got = {r.path.rsplit("/", 1)[1]: (r.kind, r.width, r.height) for r in I.inspect(spark, str(tmp_path)).collect()}
+    assert got == {"a.jpg": ("jpeg", 30, 20), "short.png": (None, None, None)}
+
+
+def test_scaling_against_whole_matrices():
+    rgb = np.random.default_rng(2).integers(0, 256, (300, 700, 3)).astype(np.uint8)
+
+    def matrix(size, new):
+        at, w = I._taps(size, new)
+        out = np.zeros((new, size))
+        np.add.at(out, (np.arange(new)[:, None], at), w)
+        return out
+
+    to_bytes = lambda v: np.clip(np.floor(v + 0.5), 0, 255)
+    wide = to_bytes(np.einsum("nw,hwc->hnc", matrix(700, 256), rgb.astype(float)))
+    whole = to_bytes(np.einsum("nh,hwc->nwc", matrix(300, 109), wide))
+    assert np.abs(I.downscale(rgb).astype(int) - whole.astype(int)).max() <= 1 and (I.downscale(rgb) == whole).mean() > 0.999
+
+
 def test_stream(spark, tmp_path):
+    """Every file is reported or rejected once, whatever the trigger, and a second run has nothing to do."""
     (tmp_path / "in").mkdir()
-    for name in "ab":
-        png(tmp_path / "in" / f"{name}.png", ramp())
-    watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), files=1).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    for name in "abcde":
+        png(tmp_path / "in" / f"{name}.png", ramp(4, 6))
+    (tmp_path / "in" / "bad.png").write_text("no image")
+    for trigger in ({"once": True}, {"availableNow": True}):
+        place = tmp_path / next(iter(trigger))
+        for _ in range(2):
+            watch(spark, str(tmp_path / "in"), str(place), str(tmp_path / f"cp-{place.name}"), files=4, **trigger).awaitTermination(180)
+        assert spark.read.parquet(str(place / "reports")).count() == 5
+        assert [r.reason for r in spark.read.parquet(str(place / "rejects")).collect()] == ["not an image that can be read"]

@@ -185,13 +185,13 @@ _BLOCK = "key long, i long, j long"
 _PARTNERS = _BLOCK + ", a long, b long, id long, comp long, partners array<long>"
 
 
-def _parts(n: np.ndarray) -> np.ndarray:
-    """Numbers of parts of consecutive rows of n shingles each: at most SETS rows and about WEIGHT shingles in one."""
-    heavy = np.cumsum(np.maximum(n, WEIGHT // SETS)) // WEIGHT
+def _parts(n: np.ndarray, rows: int, weight: int) -> np.ndarray:
+    """Numbers of parts of consecutive rows of n shingles each: about `weight` shingles in one, and at most `rows` rows."""
+    heavy = np.cumsum(np.maximum(n, -(-weight // rows))) // weight
     return heavy - heavy[:1] if len(heavy) else heavy
 
 
-def _candidates(distance: int, percent: int):
+def _candidates(distance: int, percent: int, rows_of_part: int, weight: int):
     """Rows (key, i, j, side, id, comp, n, sig) of a block: pairs across components that are near enough by signature and
     size and share no key before this one. A pair is in the part (a, b) of its two rows' places; each part has a row for
     each of its classes, with the partners of those that are first in a pair."""
@@ -211,7 +211,7 @@ def _candidates(distance: int, percent: int):
                 ok = ok[near[first_shared(same[near]) == place]]
                 found.append(np.stack([np.full(len(ok), i), ok], axis=1))
         x, y = np.concatenate(found).T
-        part = _parts(n)
+        part = _parts(n, rows_of_part, weight)
         a, b = part[x], part[y]
         order = np.lexsort((y, x, b, a))
         x, y, a, b = x[order], y[order], a[order], b[order]
@@ -292,7 +292,7 @@ def _search_across(shared: DataFrame, labels: DataFrame, classes: DataFrame, set
     tasks = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     block = ["key", "i", "j"]
     rows = _blocked(entries).join(classes.select("id", "sig"), "id").repartition(tasks, *block).sortWithinPartitions(*block)
-    found = stored(rows.mapInArrow(_candidates(DISTANCE, percent), _PARTNERS), "near-candidates")
+    found = stored(rows.mapInArrow(_candidates(DISTANCE, percent, SETS, WEIGHT), _PARTNERS), "near-candidates")
     part = [*block, "a", "b"]
     rows = found.join(sets, "id").repartition(tasks, *part).sortWithinPartitions(*part)
     return rows.mapInArrow(_forests(percent), "u long, v long")

@@ -19,9 +19,13 @@ ALNUM[0x80:] = True
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits under which similar inputs become unrelated outputs."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    t = x >> np.uint64(30)
+    x = x ^ t
+    for factor, shift in ((0xBF58476D1CE4E5B9, 27), (0x94D049BB133111EB, 31)):  # in place: arrays can be those of a long text
+        x *= np.uint64(factor)
+        t = np.right_shift(x, np.uint64(shift), out=t) if isinstance(t, np.ndarray) else x >> np.uint64(shift)
+        x ^= t
+    return x
 
 
 #: Places in a word whose bytes have their numbers in a table; later places have them worked out.
@@ -37,17 +41,25 @@ def byte_numbers(data: np.ndarray, starts: np.ndarray, lane: int = 0) -> np.ndar
     if not _tables:
         _tables.append(mix(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     n = len(data)
-    cuts = np.concatenate([[0], starts])
-    place = np.arange(n, dtype=np.int64) - np.repeat(cuts, np.diff(np.append(cuts, n)))
-    x = _tables[0][(np.minimum(place, _PLACES - 1) << 8) | data]
+    cuts = np.concatenate([[0], starts]).astype(np.int32)
+    place = np.arange(n, dtype=np.int32)
+    place -= np.repeat(cuts, np.diff(np.append(cuts, n)))
     far = np.flatnonzero(place >= _PLACES)
-    if len(far):
-        x[far] = mix((place[far].astype(np.uint64) * np.uint64(256) + data[far] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    later = (place[far].astype(np.uint64) * np.uint64(256) + data[far] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    np.minimum(place, _PLACES - 1, out=place)
+    place <<= 8
+    place |= data
+    x = _tables[0][place]
+    del place
+    x[far] = mix(later)
     if lane:
         before = np.zeros(n, np.uint64)
         before[1:] = x[:-1]
         before[starts] = 0
-        x = mix(x ^ (before * _LANE))
+        before *= _LANE
+        x ^= before
+        del before
+        x = mix(x)
     return x
 
 

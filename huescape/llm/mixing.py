@@ -211,15 +211,16 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     cut = F.array_join(F.flatten(F.transform("m.spans", lambda s: F.slice(word, (s["skip"] + 1).cast("int"), s["words"].cast("int")))), "")
     text = F.when(F.col("m.take") >= F.col("m.size"), F.col("d.text")).otherwise(cut)
     # Slots are dealt evenly, so ranges of them are too, and need no sampling.
-    several = F.floor(F.col("m.at") / F.lit(max(1, -(-m.all_slots // m._tasks))))
+    several = F.floor(F.col("m.at") / F.lit(max(1, -(-m.all_slots // m._tasks)))).cast("int")
     rows = both.select(*[F.col(f"d.`{c}`") for c in docs.columns if c != "text"], text.alias("text"), F.col("m.at").alias("__mix_at"), several.alias("__mix_range"))
-    rows = rows.repartition(m._tasks, "__mix_range").sortWithinPartitions("__mix_at")
+    rows = rows.repartitionById(m._tasks, "__mix_range").sortWithinPartitions("__mix_at")
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     return rows.select(docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken, first_shard, first_slot of every document."""
     return mix_sources(table(spark, sf_dir, "documents"))
 
 

@@ -354,6 +354,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document, by 3-word shingles at 85 percent."""
     return near_duplicates(table(spark, sf_dir, "documents"), SHINGLE, PERCENT)
 
 

@@ -152,12 +152,13 @@ def redact(docs: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every document; n_all: spans of all kinds."""
     d = detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
     listed = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(kind) for kind in BASE]
-    return d.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return d.select("doc_id", *counts, F.size("spans").cast("long").alias("n_all"), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
 def _sql_test(kind: str) -> str:
@@ -195,5 +196,5 @@ c AS ({" UNION ALL ".join(parts)}),
 e AS (SELECT doc_id, rank, kind, f, g, unnest(range(1, len(f) + 1)) AS i FROM c),
 p AS (SELECT doc_id, rank, kind, g, i, f[i] AS m, (list_sum(list_transform(g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[:i - 1], lambda x: length(x))), 0))::BIGINT AS start FROM e),
 k AS (SELECT * FROM p WHERE CASE kind {" ".join(needs)} END)
-SELECT d.doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in BASE)}, sha256({listed % base}) AS base_sha256, {listed % ""} AS spans
+SELECT d.doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in BASE)}, count(kind) AS n_all, sha256({listed % base}) AS base_sha256, {listed % ""} AS spans
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id"""

@@ -45,7 +45,8 @@ def measures(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     chars = np.maximum(1, np.diff(off)).astype(float)
 
     def of_bytes(which: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(which[data])])
+        total = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(which[data], out=total[1:])
         return (total[off[1:]] - total[off[:-1]]) / chars
 
     h = w.hashes()

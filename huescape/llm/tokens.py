@@ -120,4 +120,5 @@ def stage(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, read from the files that hold its ids."""
     return stage(table(spark, sf_dir, "documents"))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import color as C
 from ..functions.names import css_names
-from ..sources.fixtures import pixels
-from ..store import tidy
+from ..sources import images
+from ..sources.fixtures import pixels, widened, write_images, write_odd
+from ..store import discard, stored, tidy, work_path
 from .oracle import sql
 from .palette import Palette
 
@@ -86,12 +87,16 @@ def _select(columns: str, relation: str) -> str:
 
 
 def color_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scalar functions on a lattice of channels made from part: there and back, hue, contrast with white, ink."""
+    """The scalar functions on a lattice of channels made from part: to CIELAB, the colour of the coarse bin and its hue, contrast with white, ink."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS k", "CAST(p_partkey * 7 % 256 AS BIGINT) AS r", "CAST(p_partkey * 13 % 256 AS BIGINT) AS g", "CAST(p_partkey * 29 % 256 AS BIGINT) AS b")
     lab = C.rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))
     p = p.withColumns(dict(zip(("l", "a", "lb"), lab, strict=True)))
     ratio = F.round(C.contrast_ratio((F.col("r"), F.col("g"), F.col("b")), (F.lit(255), F.lit(255), F.lit(255))), 9)
-    return p.select("k", F.round("l", 6).alias("l"), F.round("a", 6).alias("a"), F.round("lb", 6).alias("lb"), C.to_hex(F.col("r"), F.col("g"), F.col("b")).alias("hex"), F.round(C.chroma(F.col("a"), F.col("lb")), 6).alias("chroma"),
+    p = p.withColumn("coarse", C.encode(*(C.quantise(F.col(c), 11.5) for c in ("l", "a", "lb"))))
+    p = p.withColumns(dict(zip(("cl", "ca", "cb"), C.centre(F.col("coarse"), 11.5), strict=True)))
+    p = p.withColumn("hue", C.hue(F.col("ca"), F.col("cb")))
+    p = p.withColumns({"back": C.lab_to_hex(F.col("cl"), F.col("ca"), F.col("cb")), "escaped": C.escape_html(F.format_string("<a href='%d'>&\"</a>", "k")), "far": C.hue_distance(F.col("hue"), F.lit(300.0)), "de": C.delta_e((F.col("l"), F.col("a"), F.col("lb")), (F.col("cl"), F.col("ca"), F.col("cb")))})
+    return p.select("k", "coarse", "back", "escaped", F.round("hue", 6).alias("hue"), F.round("far", 6).alias("hue_distance"), F.round("de", 6).alias("delta_e"), F.round("l", 6).alias("l"), F.round("a", 6).alias("a"), F.round("lb", 6).alias("lb"), C.to_hex(F.col("r"), F.col("g"), F.col("b")).alias("hex"), F.round(C.chroma(F.col("a"), F.col("lb")), 6).alias("chroma"),
         C.encode(*(C.quantise(F.col(c), 2.3) for c in ("l", "a", "lb"))).alias("fine"), F.round(ratio, 6).alias("contrast"), C.wcag_level(ratio).alias("level"), C.text_on(F.col("l")).alias("ink"))
 
 
@@ -104,24 +109,55 @@ def name_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, n, r, g, b) for i, (n, r, g, b) in enumerate(css_names())], "idx long, name string, r long, g long, b long")
 
 
+@tidy
+def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is found in a folder of images, of files that claim too great a size and of texts, and why a file is refused."""
+    folder, px = work_path(spark, "images"), pixels(spark, sf_dir)
+    write_images(px, f"{folder}/whole")
+    write_odd(px, f"{folder}/odd")
+    paths = [f"{folder}/whole", f"{folder}/odd"]
+    found = images.inspect(spark, paths).join(images.checked(spark, paths), "path")
+    out = stored(found.select(F.regexp_extract("path", "[^/]+/[^/]+$", 0).alias("name"), "kind", "width", "height", "reason"), "image_files")
+    discard(spark, folder)
+    return out
+
+
+def _read_back(scaled: bool) -> Callable[[SparkSession, str], DataFrame]:
+    @tidy
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder, px = work_path(spark, "images"), pixels(spark, sf_dir)
+        write_images(widened(px) if scaled else px, folder)
+        found, paths = images.read_images(spark, f"{folder}/*.png", downscale=scaled)
+        names = paths.select(F.col("image_id").alias("hash"), F.regexp_extract("path", "([0-9]+)[.]png$", 1).cast("long").alias("image_id"))
+        out = stored(found.withColumnRenamed("image_id", "hash").join(names, "hash").select("image_id", "y", "x", "r", "g", "b"), "image_pixels")
+        discard(spark, folder)
+        return out
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(relation, columns) for name, (relation, columns, _) in TABLES.items()}
-QUERIES |= {"color_functions": color_functions, "name_table": name_table, "prose_report": _report("prose"), "html_report": _report("html")}
+QUERIES |= {"color_functions": color_functions, "name_table": name_table, "prose_report": _report("prose"), "html_report": _report("html"), "image_files": image_files, "image_pixels": _read_back(False), "image_scaled": _read_back(True)}
 
 
 def _functions_sql() -> str:
-    from .oracle import _bin, _code, _f, _lin, _lum
-    from ..functions.color import TO_XYZ, WHITE
+    from .oracle import TO_XYZ, WHITE, _apart, _bin, _centre, _code, _f, _hue, _lin, _lum, _rgb
 
     return f"""WITH p AS (SELECT p_partkey AS k, p_partkey * 7 % 256 AS r, p_partkey * 13 % 256 AS g, p_partkey * 29 % 256 AS b FROM part),
 lin AS (SELECT *, {_lin('r')} AS lr, {_lin('g')} AS lg, {_lin('b')} AS lb FROM p),
 f AS (SELECT *, {_f(TO_XYZ[0], WHITE[0])} AS fx, {_f(TO_XYZ[1], WHITE[1])} AS fy, {_f(TO_XYZ[2], WHITE[2])} AS fz FROM lin),
-x AS (SELECT k, r, g, b, fy * 116 - 16 AS l, (fx - fy) * 500 AS a, (fy - fz) * 200 AS lb, round(1.05e0 / ({_lum('f')} + 0.05e0), 9) AS ratio FROM f)
-SELECT k, round(l, 6) AS l, round(a, 6) AS a, round(lb, 6) AS lb, printf('#%02x%02x%02x', r, g, b) AS hex, round(sqrt(a * a + lb * lb), 6) AS chroma, {_code(*(_bin(c, 2.3) for c in ('l', 'a', 'lb')))} AS fine,
-    round(ratio, 6) AS contrast, CASE WHEN ratio >= 7 THEN 'AAA' WHEN ratio >= 4.5 THEN 'AA' WHEN ratio >= 3 THEN 'AA-large' ELSE 'fail' END AS level, CASE WHEN l > 50 THEN '#000' ELSE '#fff' END AS ink FROM x"""
+x AS (SELECT k, r, g, b, fy * 116 - 16 AS l, (fx - fy) * 500 AS a, (fy - fz) * 200 AS lb, round(1.05e0 / ({_lum('f')} + 0.05e0), 9) AS ratio FROM f),
+c AS (SELECT *, {_code(*(_bin(c, 11.5) for c in ('l', 'a', 'lb')))} AS coarse FROM x),
+d AS (SELECT *, {', '.join(f'{v} AS {n}' for v, n in zip(_centre('coarse', 11.5), ('cl', 'ca', 'cb'), strict=True))} FROM c),
+e AS (SELECT *, {_hue('ca', 'cb')} AS hue, {', '.join(f'{v} AS {n}' for v, n in zip(_rgb('cl', 'ca', 'cb'), ('br', 'bg', 'bb'), strict=True))} FROM d)
+SELECT k, coarse, printf('#%02x%02x%02x', br, bg, bb) AS back, '&lt;a href=&#x27;' || k || '&#x27;&gt;&amp;&quot;&lt;/a&gt;' AS escaped, round(hue, 6) AS hue, round({_apart('hue', '300e0')}, 6) AS hue_distance,
+    round(sqrt((l - cl) * (l - cl) + (a - ca) * (a - ca) + (lb - cb) * (lb - cb)), 6) AS delta_e, round(l, 6) AS l, round(a, 6) AS a, round(lb, 6) AS lb, printf('#%02x%02x%02x', r, g, b) AS hex, round(sqrt(a * a + lb * lb), 6) AS chroma, {_code(*(_bin(c, 2.3) for c in ('l', 'a', 'lb')))} AS fine,
+    round(ratio, 6) AS contrast, CASE WHEN ratio >= 7 THEN 'AAA' WHEN ratio >= 4.5 THEN 'AA' WHEN ratio >= 3 THEN 'AA-large' ELSE 'fail' END AS level, CASE WHEN l > 50 THEN '#000' ELSE '#fff' END AS ink FROM e"""
 
 
 def oracle_sql() -> dict[str, str]:
     out = {name: sql(_select(columns, relation)) for name, (_, columns, relation) in TABLES.items()}
     names = ", ".join(f"({i}, '{n}', {r}, {g}, {b})" for i, (n, r, g, b) in enumerate(css_names()))
     out["name_table"] = f"SELECT idx::BIGINT AS idx, name, r::BIGINT AS r, g::BIGINT AS g, b::BIGINT AS b FROM (VALUES {names}) t(idx, name, r, g, b)"
-    return out | {"color_functions": _functions_sql(), "prose_report": sql("SELECT image_id, report FROM prose")}
+    return out | {"color_functions": _functions_sql(), "prose_report": sql("SELECT image_id, report FROM prose"), "html_report": sql("SELECT image_id, html FROM html"), "image_files": sql("SELECT name, kind, width, height, reason FROM ifiles"),
+        "image_pixels": sql("SELECT image_id, y, x, r, g, b FROM pixels"), "image_scaled": sql("SELECT image_id, y, x, r, g, b FROM iscaled")}

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from ..constants import ANCHOR, CONTRAST_L, DIRECTIONS, HARMONY_CHROMA, HUE_RANGE, MAX_TURN, MIN_ASYMMETRY, MIN_CHAIN, MIN_EDGES, MIN_SHARE, MIN_SPAN, MOST, PAIRS, PENALTY, SEEDS, SIMILAR, STOP_CHROMA
-from ..functions.color import EPSILON, KAPPA, TO_RGB, TO_XYZ, WHITE
-from ..functions.names import css_names, name_labs
+from ..functions.names import css_names
+from ..operators.render import STYLE
+
+# Fixed values of the analysis, written out again: a wrong one in the plans must not be wrong here too.
+HUE_RANGE, SEEDS, MIN_EDGES, MIN_ASYMMETRY, MIN_CHAIN = 30.0, 50, 10, 0.3, 3
+MIN_SPAN, MAX_TURN, STOP_CHROMA, MOST, MIN_SHARE = 40.0, 74.0, 8.0, 10, 0.05
+SIMILAR, ANCHOR, PENALTY, CONTRAST_L, HARMONY_CHROMA, PAIRS = 25.0, 0.05, 30.0, 30.0, 15.0, 5
+DIRECTIONS = ("right", "left", "below", "above", "down_right", "down_left", "up_right", "up_left")
+# sRGB and CIELAB by D65, as they are defined.
+TO_XYZ = ((0.4124564, 0.3575761, 0.1804375), (0.2126729, 0.7151522, 0.0721750), (0.0193339, 0.1191920, 0.9503041))
+TO_RGB = ((3.2404542, -1.5371385, -0.4985314), (-0.9692660, 1.8760108, 0.0415560), (0.0556434, -0.2040259, 1.0572252))
+WHITE, EPSILON, KAPPA = (0.95047, 1.0, 1.08883), 0.008856, 903.3
 
 
 def _d(x: float) -> str:
@@ -100,7 +109,9 @@ CTES = {
     "cb0": "SELECT image_id, coarse, sum(cnt)::BIGINT AS cnt, (sum(sum(cnt)) OVER (PARTITION BY image_id))::BIGINT AS total FROM fb GROUP BY image_id, coarse",
     "cb1": "SELECT *, cnt / total AS coverage, {} AS lab_l, {} AS lab_a, {} AS lab_b FROM cb0".format(*_centre("coarse", 11.5)),
     "cb": f"SELECT *, sqrt(lab_a * lab_a + lab_b * lab_b) AS chroma, {_hue('lab_a', 'lab_b')} AS hue FROM cb1",
-    "names": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', {_d(x)}, {_d(y)}, {_d(z)})" for i, n, x, y, z in name_labs(css_names())) + ") t(idx, name, nl, na, nb)",
+    "names0": "SELECT idx, name, {} AS lr, {} AS lg, {} AS lb FROM (VALUES ".format(*map(_lin, "rgb")) + ", ".join(f"({i}, '{n}', {r}, {g}, {b})" for i, (n, r, g, b) in enumerate(css_names())) + ") t(idx, name, r, g, b)",
+    "names1": f"SELECT idx, name, {_f(TO_XYZ[0], WHITE[0])} AS fx, {_f(TO_XYZ[1], WHITE[1])} AS fy, {_f(TO_XYZ[2], WHITE[2])} AS fz FROM names0",
+    "names": "SELECT idx, name, fy * 116 - 16 AS nl, (fx - fy) * 500 AS na, (fy - fz) * 200 AS nb FROM names1",
     "labs": "SELECT DISTINCT lab_l, lab_a, lab_b FROM cb",
     "named0": "SELECT lab_l, lab_a, lab_b, {} AS r, {} AS g, {} AS b FROM labs".format(*_rgb("lab_l", "lab_a", "lab_b")),
     "named": """SELECT n.*, printf('#%02x%02x%02x', r, g, b) AS hex, (SELECT arg_min(name, {'d': (nl - lab_l) * (nl - lab_l) + (na - lab_a) * (na - lab_a) + (nb - lab_b) * (nb - lab_b), 'i': idx}) FROM names) AS name FROM named0 n""",
@@ -234,6 +245,84 @@ CTES |= {
 }
 
 
+def _esc(s: str) -> str:
+    for plain, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        s = f"replace({s}, '{plain}', '{safe}')"
+    return s
+
+
+def _glue(*parts: str) -> str:
+    """Texts and, in braces, expressions, as one expression."""
+    out = []
+    for p in parts:
+        out.append(p[1:-1] if p[0] == "{" else "'" + p.replace("'", "''") + "'")
+    return " || ".join(out)
+
+
+def _chip(side: str) -> str:
+    return _glue('<div class="chip" style="background:', f"{{hex_{side}}}", ";color:", f"{{ink_{side}}}", '">', f"{{hex_{side}}}", "</div>")
+
+
+_HEAD = '<!DOCTYPE html>\n<html lang="en"><head><meta charset="UTF-8"><meta name="viewport" content="width=device-width, initial-scale=1">'
+_PAIR = "{" + _esc("color_a || ' / ' || color_b") + "}"
+_SIDES = "FROM {} p LEFT JOIN hlast x ON x.image_id = p.image_id AND x.name = color_a LEFT JOIN hlast z ON z.image_id = p.image_id AND z.name = color_b"
+CTES |= {
+    "hn": f"SELECT *, CASE WHEN lab_l > 50 THEN '#000' ELSE '#fff' END AS ink, {_F1('greatest(5, coverage / sum(coverage) OVER (PARTITION BY image_id) * 100)')} AS flex FROM nc",
+    "hstrip": f"""SELECT image_id, string_agg({_glue('<div style="background:', '{hex}', ';color:', '{ink}', ';flex:', '{flex}', '">', '{hex}', '</div>')}, {_NL} ORDER BY pos) AS t FROM hn GROUP BY image_id""",
+    "htrait": f"""SELECT *, CASE WHEN coverage >= 0.001e0 THEN {_F1('coverage * 100')} || '%' ELSE '&lt;0.1%' END AS share,
+        CASE WHEN len(characteristics) > 0 THEN '<br>' || {_esc("array_to_string(characteristics, '. ')")} || '.' ELSE '' END AS traits FROM hn""",
+    "hcard": "SELECT image_id, string_agg({}, {} ORDER BY pos) AS t FROM htrait GROUP BY image_id".format(_glue('<div class="row"><div class="chip" style="background:', "{hex}", ";color:", "{ink}", '">', "{hex}", "</div><div><b>", "{role}", "</b> ", "{" + _esc("name") + "}",
+        '<div class="muted">RGB(', "{" + _RGB3 + "}", ") · LAB(", "{" + _LAB3 + "}", ")<br>Coverage ", "{share}", " · Chroma ", "{" + _F0("chroma") + "}", "{traits}", "</div></div></div>"), _NL),
+    "hcss0": "SELECT image_id, gradient_idx, least(len(chain), 20) AS n, unnest(range(least(len(chain), 20))) AS i, chain FROM gr",
+    "hcss1": "SELECT image_id, gradient_idx, n, i, chain[1 + CASE WHEN len(chain) > 20 THEN i * (len(chain) - 1) // 19 ELSE i END] AS c FROM hcss0",
+    "hcss2": "SELECT image_id, gradient_idx, n, i, {} AS lab_l, {} AS lab_a, {} AS lab_b FROM hcss1".format(*_centre("c")),
+    "hcss3": "SELECT image_id, gradient_idx, n, i, {} AS r, {} AS g, {} AS b FROM hcss2".format(*_rgb("lab_l", "lab_a", "lab_b")),
+    "hcss": f"SELECT image_id, gradient_idx, string_agg(printf('#%02x%02x%02x', r, g, b) || ' ' || {_F0('i / greatest(n - 1, 1)::DOUBLE * 100')} || '%', ', ' ORDER BY i) AS css FROM hcss3 GROUP BY image_id, gradient_idx",
+    "hstop": "SELECT p.image_id, gradient_idx, string_agg({}, '' ORDER BY i) AS t FROM pst0 p JOIN cb ON cb.image_id = p.image_id AND cb.coarse = p.coarse JOIN named USING (lab_l, lab_a, lab_b) GROUP BY p.image_id, gradient_idx".format(
+        _glue('<span class="row"><span class="chip" style="background:', "{hex}", '"></span>', "{" + _esc("name") + "}", "</span>")),
+    "hbar": "SELECT image_id, string_agg({}, {} ORDER BY gradient_idx) AS t FROM gr JOIN hcss USING (image_id, gradient_idx) JOIN hstop USING (image_id, gradient_idx) GROUP BY image_id".format(_glue('<div class="bar" style="background:linear-gradient(to right, ', "{css}", ')"></div><div class="row">', "{t}",
+        '</div><p class="muted">Direction ', "{direction}", " · Coverage ", "{" + _F1("coverage * 100") + "}", "% · Lightness span ", "{" + _F0("(l_hi - l_lo) * 2.3e0") + "}", "</p>"), _NL),
+    "hlast": "SELECT image_id, name, arg_max(hex, pos) AS hex, arg_max(ink, pos) AS ink FROM hn GROUP BY image_id, name",
+    "hcp0": "SELECT p.*, coalesce(x.hex, '#888') AS hex_a, coalesce(z.hex, '#fff') AS hex_b " + _SIDES.format("cp"),
+    "hcp": "SELECT image_id, string_agg({}, {} ORDER BY pair) AS t FROM hcp0 GROUP BY image_id".format(_glue('<div class="row"><div class="chip" style="background:', "{hex_a}", ";color:", "{hex_b}", '">Aa</div>', _PAIR, ": ", "{" + _F1("ratio") + "}", ':1 <span class="level">', "{wcag_level}", "</span></div>"), _NL),
+    "hhp0": "SELECT p.*, coalesce(x.hex, '#888') AS hex_a, coalesce(z.hex, '#888') AS hex_b, coalesce(x.ink, '#fff') AS ink_a, coalesce(z.ink, '#fff') AS ink_b " + _SIDES.format("hp"),
+    "hhp": "SELECT image_id, string_agg({}, {} ORDER BY pair) AS t FROM hhp0 GROUP BY image_id".format(_glue('<div class="row">', "{" + _chip("a") + "}", "{" + _chip("b") + "}", _PAIR, ": ", "{" + _F0("hue_difference") + "}", "° apart</div>"), _NL),
+    "html": "SELECT s.image_id, array_to_string(list_filter([{}], lambda x: x IS NOT NULL), {}) AS html FROM summ s LEFT JOIN hstrip USING (image_id) LEFT JOIN hcard USING (image_id) LEFT JOIN hbar USING (image_id) LEFT JOIN hcp USING (image_id) LEFT JOIN hhp USING (image_id)".format(", ".join((
+        _glue(_HEAD), _glue("<title>Palette: ", "{s.image_id}", f"</title><style>{STYLE}</style></head><body>"),
+        _glue("<h1>", "{scheme_type}", "</h1><p>", "{scheme_description}", '</p><p class="muted">Source: ', "{s.image_id}", "<br>Lightness ", "{" + _F0("l_min") + "}", "–", "{" + _F0("l_max") + "}", " · Chroma ", "{" + _F0("chroma_min") + "}", "–", "{" + _F0("chroma_max") + "}", " · ", "{n_colors}", " colors<br>", "{distribution}", "</p>"),
+        _glue('<div class="strip">'), "hstrip.t", _glue("</div>"), *(f"'<h2>{title}</h2>' || {_NL} || {part}.t" for title, part in (("Colors", "hcard"), ("Gradients", "hbar"), ("Contrast pairs", "hcp"), ("Harmonic pairs", "hhp"))), _glue("</body></html>"))), _NL),
+}
+
+
+def _taps(side: str) -> str:
+    """For each new pixel along a side the old ones it is made from and their weights: Lanczos of three lobes."""
+    sinc = lambda t: f"(CASE WHEN {t} = 0 THEN 1e0 ELSE sin(pi() * {t}) / (pi() * {t}) END)"
+    return f"""SELECT image_id, k, old_at, wt / sum(wt) OVER (PARTITION BY image_id, k) AS wt FROM (SELECT image_id, k, old_at, CASE WHEN abs(t) < 3 THEN {sinc('t')} * {sinc('(t / 3)')} ELSE 0 END AS wt FROM (SELECT *, (old_at - c + 0.5e0) / s AS t
+        FROM (SELECT *, unnest(range(greatest(0, trunc(c - 3 * s + 0.5e0))::BIGINT, least(old, trunc(c + 3 * s + 0.5e0))::BIGINT)) AS old_at
+        FROM (SELECT image_id, old, k, greatest(1e0, old / new::DOUBLE) AS s, (k + 0.5e0) * (old / new::DOUBLE) AS c FROM (SELECT image_id, {side} AS old, n{side} AS new, unnest(range(n{side})) AS k FROM isize)))))"""
+
+
+def _weighted(taps: str, source: str, new: str, old: str, kept: str) -> str:
+    value = ", ".join(f"least(255, greatest(0, floor(sum({c} * wt) + 0.5e0)))::BIGINT AS {c}" for c in "rgb")
+    return f"SELECT p.image_id, {kept}, k AS {new}, {value} FROM {source} p JOIN {taps} t ON t.image_id = p.image_id AND t.old_at = p.{old} GROUP BY p.image_id, {kept}, k"
+
+
+CTES |= {
+    "isides": "SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height FROM pixels GROUP BY image_id",
+    "iclaim": "SELECT image_id, 9000 + image_id * 531 % 2000 AS width, CASE WHEN image_id % 5 = 0 THEN 10 ELSE 4000 + image_id * 977 % 4000 END AS height FROM isides",
+    "ifiles": """SELECT 'whole/' || image_id || '.png' AS name, 'png' AS kind, width::BIGINT AS width, height::BIGINT AS height, NULL::VARCHAR AS reason FROM isides UNION ALL
+        SELECT 'odd/' || image_id || '.png', 'png', width::BIGINT, height::BIGINT, CASE WHEN width > 10000 OR height > 10000 OR width * height > 50000000 THEN 'too large: ' || width || ' x ' || height || ' pixels'
+        WHEN least(width, height) * (256e0 / greatest(width, height)) < 1 THEN 'too thin to scale down: ' || width || ' x ' || height || ' pixels' END FROM iclaim UNION ALL
+        SELECT 'odd/' || image_id || '.txt', NULL, NULL, NULL, 'not an image that can be read' FROM isides""",
+    "iwide": "SELECT image_id, y, x * 7 + i AS x, (r + i * 30) % 256 AS r, (g + i * 11) % 256 AS g, (b + i * 50) % 256 AS b FROM pixels, range(7) t(i)",
+    "isize": "SELECT image_id, w, h, floor(w * (256e0 / greatest(w, h)))::BIGINT AS nw, floor(h * (256e0 / greatest(w, h)))::BIGINT AS nh FROM (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM iwide GROUP BY image_id)",
+    "itapx": _taps("w"),
+    "itapy": _taps("h"),
+    "iacross": _weighted("itapx", "iwide", "x", "x", "y"),
+    "iscaled": _weighted("itapy", "iacross", "y", "y", "x"),
+}
+
+
 _KEPT = {"ford", "redges", "fl", "seed", "chains", "sord"}
 
 

@@ -1,7 +1,13 @@
-"""Pixel relations made from the tables of the test data: two kinds of images with known properties."""
+"""Pixel relations made from the tables of the test data: two kinds of images with known properties; and files of them."""
 
 from __future__ import annotations
 
+import struct
+import zlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,3 +36,101 @@ def noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id, y, x, r, g, b of both kinds."""
     return ramp(spark, sf_dir).unionByName(noise(spark, sf_dir))
+
+
+def widened(df: DataFrame, times: int = 7) -> DataFrame:
+    """Images with `times` columns for each one, all of them different: wide enough to be scaled down."""
+    df = df.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn("x", F.col("x") * times + F.col("i"))
+    return df.select("image_id", "y", "x", *(((F.col(c) + F.col("i") * step) % 256).cast("long").alias(c) for c, step in (("r", 30), ("g", 11), ("b", 50))))
+
+
+def _chunk(kind: bytes, data: bytes) -> bytes:
+    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+
+def png_head(width: int, height: int) -> bytes:
+    """What an RGB file of this size begins with."""
+    return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0))
+
+
+class _Png:
+    """One file, written as its pixels come. It gets its name when it is whole, so an attempt that fails leaves no image."""
+
+    def __init__(self, fs, path: str, width: int, height: int):
+        self.fs, self.path, self.width, self.left, self.at = fs, path, width, width * height, 0
+        self.out, self.pack = fs.open_output_stream(f"{path}.part", compression=None), zlib.compressobj()
+        self.out.write(png_head(width, height))
+
+    def add(self, rgb: np.ndarray) -> None:
+        starts = np.flatnonzero((np.arange(len(rgb)) + self.at) % self.width == 0)
+        self._write(self.pack.compress(np.insert(rgb.astype(np.uint8).ravel(), starts * 3, 0).tobytes()))
+        self.at, self.left = self.at + len(rgb), self.left - len(rgb)
+
+    def _write(self, data: bytes) -> None:
+        if data:
+            self.out.write(_chunk(b"IDAT", data))
+
+    def close(self) -> None:
+        if self.left:
+            raise ValueError(f"{self.path}: an image with pixels missing")
+        self._write(self.pack.flush())
+        self.out.write(_chunk(b"IEND", b""))
+        self.out.close()
+        self.fs.move(f"{self.path}.part", self.path)
+
+
+def _writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        fs, root = FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        now, out = None, None
+        for batch in batches:
+            ids, w, h, *rgb = (batch.column(c).to_numpy() for c in ("image_id", "width", "height", "r", "g", "b"))
+            cuts = np.flatnonzero(np.diff(ids)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(ids)], strict=True):
+                if lo == hi:
+                    continue
+                if ids[lo] != now:
+                    if out:
+                        out.close()
+                        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64())], ["image_id"])
+                    now, out = int(ids[lo]), _Png(fs, f"{root}/{ids[lo]}.png", int(w[lo]), int(h[lo]))
+                out.add(np.stack([c[lo:hi] for c in rgb], axis=1))
+        if out:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64())], ["image_id"])
+
+    return run
+
+
+def write_images(df: DataFrame, folder: str) -> int:
+    """Each image of a whole relation of pixels as <image_id>.png in a folder that all executors share, a stream of rows
+    at a time; the number of images."""
+    size = df.groupBy("image_id").agg((F.max("x") + 1).cast("long").alias("width"), (F.max("y") + 1).cast("long").alias("height"))
+    rows = df.join(size, "image_id").select("image_id", "y", "x", "width", "height", "r", "g", "b")
+    return rows.repartition("image_id").sortWithinPartitions("image_id", "y", "x").mapInArrow(_writer(folder), "image_id long").count()
+
+
+def _odd_writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        fs, root = FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        for batch in batches:
+            for i, w, h in zip(*(batch.column(c).to_pylist() for c in ("image_id", "width", "height")), strict=True):
+                for name, data in ((f"{i}.png", png_head(w, h)), (f"{i}.txt", b"no image")):
+                    with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
+                        out.write(data)
+            yield batch.select(["image_id"])
+
+    return run
+
+
+def write_odd(df: DataFrame, folder: str) -> int:
+    """For each image the head of a file that claims a great size (every fifth: a great width alone), and a text."""
+    i = F.col("image_id")
+    ids = df.select("image_id").distinct().select(i, (9000 + i * 531 % 2000).alias("width"), F.when(i % 5 == 0, F.lit(10)).otherwise(4000 + i * 977 % 4000).cast("long").alias("height"))
+    return ids.mapInArrow(_odd_writer(folder), "image_id long").count()

@@ -233,6 +233,18 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", ["lab_pixels", "coarse_bins", "scale_stability", "color_families", "directional", "coherence", "gradients", "notable_colors", "palette_summary", "color_functions"])
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_sql(spark, con, name):
     assert_same(catalogue.QUERIES[name](spark, SF), con, catalogue.oracle_sql()[name])
+
+
+def test_constants_are_those_of_the_sql():
+    """The SQL has its own copy of every fixed value, so that a slip on one side shows."""
+    from huescape import constants
+    from huescape.functions import color
+    from huescape.plans import oracle
+
+    for name in ("HUE_RANGE", "SEEDS", "MIN_EDGES", "MIN_ASYMMETRY", "MIN_CHAIN", "MIN_SPAN", "MAX_TURN", "STOP_CHROMA", "MOST", "MIN_SHARE", "SIMILAR", "ANCHOR", "PENALTY", "CONTRAST_L", "HARMONY_CHROMA", "PAIRS", "DIRECTIONS"):
+        assert getattr(constants, name) == getattr(oracle, name), name
+    for name in ("TO_XYZ", "TO_RGB", "WHITE", "EPSILON", "KAPPA"):
+        assert getattr(color, name) == getattr(oracle, name), name

@@ -8,6 +8,7 @@ import pytest
 
 from huescape import cli
 from huescape.api import reports
+from huescape.sources import fixtures
 from huescape.sources import images as I
 from huescape.streaming.images import watch
 
@@ -115,3 +116,18 @@ def test_stream(spark, tmp_path):
             watch(spark, str(tmp_path / "in"), str(place), str(tmp_path / f"cp-{place.name}"), files=4, **trigger).awaitTermination(180)
         assert spark.read.parquet(str(place / "reports")).count() == 5
         assert [r.reason for r in spark.read.parquet(str(place / "rejects")).collect()] == ["not an image that can be read"]
+
+
+def test_written_images(spark, tmp_path):
+    """Files written by pixels are those written by hand; pixels that are missing are an error, and leave no image."""
+    rgb = ramp(5, 9)
+    rows = [(7, y, x, *map(int, rgb[y, x])) for y in range(5) for x in range(9)]
+    schema = "image_id long, y long, x long, r long, g long, b long"
+    assert fixtures.write_images(spark.createDataFrame(rows[::-1], schema), f"file://{tmp_path}/a") == 1
+    png(tmp_path / "b.png", rgb)
+    read = lambda p: sorted(tuple(r)[1:] for r in I.read_images(spark, str(p))[0].collect())
+    assert read(tmp_path / "a" / "7.png") == read(tmp_path / "b.png")
+    with pytest.raises(Exception, match="pixels missing"):
+        fixtures.write_images(spark.createDataFrame(rows[1:], schema), f"file://{tmp_path}/c")
+    assert not (tmp_path / "c" / "7.png").exists()
+    assert fixtures.write_images(spark.createDataFrame([], schema), f"file://{tmp_path}/d") == 0

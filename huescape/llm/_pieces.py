@@ -80,7 +80,7 @@ def split(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 class Pieces:
     """Ids of texts, with a table of pieces that grows to at most `most` entries of at most `longest` bytes."""
 
-    def __init__(self, path: str, most: int = 1_200_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 1 << 20, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -158,7 +158,7 @@ class Pieces:
         entry = np.stack([self.used + np.cumsum(count) - count, count, self.filled + np.cumsum(size) - size, size], axis=1)
 
         def room(x: np.ndarray, have: int, more: int) -> np.ndarray:
-            return x if have + more <= len(x) else np.concatenate([x, np.zeros((max(more, len(x)), *x.shape[1:]), x.dtype)])
+            return x if have + more <= len(x) else np.concatenate([x, np.zeros((max(more, len(x) // 4), *x.shape[1:]), x.dtype)])
 
         self.ids, self.raw, self.entries = room(self.ids, self.used, len(mine)), room(self.raw, self.filled, len(text)), room(self.entries, self.held, len(fit))
         self.ids[self.used : self.used + len(mine)], self.raw[self.filled : self.filled + len(text)] = ids[mine], data[text]
@@ -179,7 +179,7 @@ class Pieces:
         known, miss = np.flatnonzero(entry >= 0), np.flatnonzero(entry < 0)
         start, count = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
         start[known], count[known] = self.entries[entry[known], 0], self.entries[entry[known], 1]
-        source = self.ids
+        used, fresh = self.used, np.zeros(0, np.uint32)
         if len(miss):
             # One of each hash, and those of other bytes than that one.
             _, one, back = np.unique(h[miss], return_index=True, return_inverse=True)
@@ -191,13 +191,15 @@ class Pieces:
             counts = np.fromiter((len(r) // 4 for r in raw), np.int64, len(raw))
             fresh, places = np.frombuffer(b"".join(raw), np.uint32), np.cumsum(counts) - counts
             back[alone] = len(first) + np.arange(int(alone.sum()))
-            start[miss], count[miss] = self.used + places[back], counts[back]
-            source = np.concatenate([self.ids[: self.used], fresh])
+            start[miss], count[miss] = used + places[back], counts[back]
             self._learn(h[first], fresh, counts[: len(first)], data, begin[first], size[first])
         ends = np.cumsum(count)
         take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - count), count)
         row = np.concatenate([[0], ends])[np.searchsorted(begin, off)]
-        return source[take], row
+        new = take >= used
+        out = self.ids[np.where(new, 0, take)]
+        out[new] = fresh[take[new] - used]
+        return out, row
 
     @staticmethod
     def hash(total: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:

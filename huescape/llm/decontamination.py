@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import likely, stored, table, tidy, widened, without
-from ._words import ALNUM, Words, mix, pieces, utf8
+from ._words import ALNUM, Words, lean, mix, pieces, utf8
 
 WINDOW, BLOCK_WORDS = 13, 200_000
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -307,7 +307,7 @@ def _pass(docs: DataFrame, index: Index) -> DataFrame:
                 at += found.num_rows
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *(found.column(c) for c in ("n_words", "hits", "items"))], [*columns, "n_words", "hits", "items"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def is_contaminated(n_words, n_hit):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import Stored, likely, spread, stored, table, tidy
-from ._words import NOT_SPACE, Words, mix, pieces, utf8
+from ._words import NOT_SPACE, Words, lean, mix, pieces, utf8
 from .components import components
 
 SHINGLE, PERCENT = 3, 85
@@ -292,10 +292,10 @@ def _search_across(shared: DataFrame, labels: DataFrame, classes: DataFrame, set
     tasks = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     block = ["key", "i", "j"]
     rows = _blocked(entries).join(classes.select("id", "sig"), "id").repartition(tasks, *block).sortWithinPartitions(*block)
-    found = stored(rows.mapInArrow(_candidates(DISTANCE, percent, SETS, WEIGHT), _PARTNERS), "near-candidates")
+    found = stored(rows.mapInArrow(lean(_candidates(DISTANCE, percent, SETS, WEIGHT)), _PARTNERS), "near-candidates")
     part = [*block, "a", "b"]
     rows = found.join(sets, "id").repartition(tasks, *part).sortWithinPartitions(*part)
-    return rows.mapInArrow(_forests(percent), "u long, v long")
+    return rows.mapInArrow(lean(_forests(percent)), "u long, v long")
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -303,7 +303,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
     An inner join: the optimizer would move a semi-join ahead of the filter that is there to shuffle less."""
     texts = docs.select(F.col("doc_id").alias("id"), "text")
-    return likely(texts, "id", ids).join(ids, "id").mapInArrow(_set_rows(n), "id long, set binary")
+    return likely(texts, "id", ids).join(ids, "id").mapInArrow(lean(_set_rows(n)), "id long, set binary")
 
 
 def _stars(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -315,7 +315,7 @@ def _stars(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = dealt.select("u", "part", "id").unionByName(centers.select("u", "part", F.col("u").alias("id")))
     tasks = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.join(sets, "id").repartition(tasks, "u", "part").sortWithinPartitions("u", "part", F.col("id") != F.col("u"))
-    return rows.select("u", "part", "id", "set").mapInArrow(_confirm_stars(percent), "u long, v long")
+    return rows.select("u", "part", "id", "set").mapInArrow(lean(_confirm_stars(percent)), "u long, v long")
 
 
 @tidy
@@ -327,10 +327,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     links and are kept. Rows that share a doc_id are one vertex: all of them get its component. A null doc_id is linked
     with nothing: component null, kept. An empty table gives no rows."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stored(docs.mapInArrow(_features(shingle), "doc_id long, n long, f1 long, f2 long, sig binary"), "near-rows")
+    rows = stored(docs.mapInArrow(lean(_features(shingle)), "doc_id long, n long, f1 long, f2 long, sig binary"), "near-rows")
     usable = rows.where("n > 0 and doc_id is not null")
     classes = stored(usable.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "near-classes")
-    keys = Stored(classes.select("id", "n", "sig").mapInArrow(_keys, "key long, id long, n long"), "near-keys")
+    keys = Stored(classes.select("id", "n", "sig").mapInArrow(lean(_keys), "key long, id long, n long"), "near-keys")
     hubs = keys.df.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("most")).where("hub.id <> most")
     hubs = stored(hubs.select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "near-hubs")
     shared = stored(likely(keys.df, "key", hubs).join(hubs, "key"), "near-shared")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ._common import labelled, stored, table, tidy, widened, without
 from ._linear import fit_dense
-from ._words import NOT_SPACE, Words, pieces, utf8
+from ._words import NOT_SPACE, Words, lean, pieces, utf8
 
 #: Labelled rows that the model is fitted on, at most: the first by hash of their ids. Kept: posterior of at least THRESHOLD.
 SAMPLE, THRESHOLD, L2 = 20_000, 0.5, 1.0
@@ -86,7 +86,7 @@ def _measure_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fit_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """docs: doc_id, text. labels: doc_id, quality (1 good, 0 bad; rows of null are left out). Without both labels the
     model has no weights and gives the label's rate."""
-    got = labelled(docs, labels, "quality", sample).select("text", "quality").mapInArrow(_measure_rows, "quality int, x array<double>").toPandas()
+    got = labelled(docs, labels, "quality", sample).select("text", "quality").mapInArrow(lean(_measure_rows), "quality int, x array<double>").toPandas()
     y = got["quality"].to_numpy(float)
     k = len(MEASURES)
     rate = (y.sum() + 1) / (len(y) + 2)
@@ -108,7 +108,7 @@ def evidence(docs: DataFrame, model: Model) -> DataFrame:
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(odds)], [*columns, "_odds"])
 
-    return docs.mapInArrow(run, widened(docs, "_odds double"))
+    return docs.mapInArrow(lean(run), widened(docs, "_odds double"))
 
 
 def _spread(groups: DataFrame, center: str) -> float:

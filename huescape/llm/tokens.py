@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ._common import table, work_path
 from ._pieces import Pieces
-from ._words import pieces, utf8
+from ._words import lean, pieces, release, utf8
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 0
 #: Bytes: a row group, a page, a dictionary page.
@@ -63,6 +63,7 @@ def _encode(path: str, end_id: int):
                     ["part", "seq", "doc_id", "first", "n_tokens", "ids"],
                 )
                 seq, first = seq + len(n), first + int(ends[-1])
+            release()
 
     return run
 
@@ -109,7 +110,7 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), read from the files."""
     files = token_files(spark, path)
-    sums = files.select("part", "first", "doc_id", "ids").mapInArrow(_checksums, "part int, first long, doc_id long, n_tokens long, ids_crc32 long")
+    sums = files.select("part", "first", "doc_id", "ids").mapInArrow(lean(_checksums), "part int, first long, doc_id long, n_tokens long, ids_crc32 long")
     return placed(files, sums).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -5,9 +5,11 @@ import zlib
 
 import numpy as np
 import pytest
+from compare import assert_same, connect
 
 from huescape import cli
 from huescape.api import reports
+from huescape.plans.catalogue import QUERIES, oracle_sql
 from huescape.sources import fixtures
 from huescape.sources import images as I
 from huescape.streaming.images import watch
@@ -131,3 +133,34 @@ def test_written_images(spark, tmp_path):
         fixtures.write_images(spark.createDataFrame(rows[1:], schema), f"file://{tmp_path}/c")
     assert not (tmp_path / "c" / "7.png").exists()
     assert fixtures.write_images(spark.createDataFrame([], schema), f"file://{tmp_path}/d") == 0
+
+
+def _shared_id(rgb):
+    """An image of 9 x 5 pixels, and two pixels more at places that it has."""
+    rows = [(7, y, x, *map(int, rgb[y, x])) for y in range(5) for x in range(9)]
+    return rows + [(7, 1, 2, 255, 255, 255), (7, 4, 7, 255, 250, 255)]
+
+
+def test_images_that_share_an_id(spark, tmp_path):
+    """The second pixel at a place goes to a second layer, of the same size and clear elsewhere."""
+    schema = "image_id long, y long, x long, r long, g long, b long"
+    assert fixtures.write_images(spark.createDataFrame(_shared_id(ramp(5, 9)), schema), f"file://{tmp_path}/a") == 1
+    assert [(r.kind, r.width, r.height) for r in I.inspect(spark, str(tmp_path / "a")).collect()] == [("png", 9, 5)]
+    r = spark.read.format("image").load(str(tmp_path / "a-more" / "1" / "7.png")).select("image.*").first()
+    bgra = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels)
+    assert bgra.shape == (5, 9, 4) and (bgra[:, :, 3] > 0).sum() == 2
+    assert bgra[1, 2].tolist() == [255, 255, 255, 255] and bgra[4, 7].tolist() == [255, 250, 255, 255]
+
+
+def test_files_of_shared_ids(spark, tmp_path):
+    """image_files where the images of both kinds share ids, against its SQL."""
+    _shared_tables(tmp_path)
+    assert_same(QUERIES["image_files"](spark, str(tmp_path)), connect(str(tmp_path)), oracle_sql()["image_files"])
+
+
+def _shared_tables(folder):
+    """Orders and events whose images (50 x 30 and 40 x 25 pixels) share the ids 1000 and 1001."""
+    import duckdb
+
+    duckdb.sql(f"COPY (SELECT 1500000 + i AS o_orderkey, CASE WHEN i % 7 = 0 THEN 'P' ELSE 'O' END AS o_orderstatus FROM range(3000) t(i)) TO '{folder}/orders.parquet'")
+    duckdb.sql(f"COPY (SELECT i AS event_id, i * 13 % 400 / 1.5e0 AS value, i * 7 % 900 AS user_id, CASE WHEN i % 3 = 0 THEN 'view' ELSE 'purchase' END AS event_type FROM range(2000) t(i)) TO '{folder}/events.parquet'")

@@ -164,10 +164,16 @@ def test_pixels_of_shared_ids(spark, tmp_path):
     assert_same(QUERIES["image_pixels"](spark, str(tmp_path)), connect(str(tmp_path)), oracle_sql()["image_pixels"])
     schema, rows = "image_id long, y long, x long, r long, g long, b long", _shared_id(ramp(5, 9))
     fixtures.write_images(spark.createDataFrame(rows, schema), f"file://{tmp_path}/a")
-    got = I.read_images(spark, str(tmp_path / "a"), layers=fixtures.further(f"file://{tmp_path}/a"))[0].collect()
+    got = I.read_images(spark, str(tmp_path / "a"), downscale=False, layers=fixtures.further(f"file://{tmp_path}/a"))[0].collect()
     assert sorted(tuple(r)[1:] for r in got) == sorted(r[1:] for r in rows)
 
 
+def test_scaling_of_shared_ids(spark, tmp_path):
+    """image_scaled where the images of both kinds share ids, against its SQL."""
+    _shared_tables(tmp_path)
+    assert_same(QUERIES["image_scaled"](spark, str(tmp_path)), connect(str(tmp_path)), oracle_sql()["image_scaled"])
+
+
 def _shared_tables(folder):
     """Orders and events whose images (50 x 30 and 40 x 25 pixels) share the ids 1000 and 1001."""
     import duckdb

@@ -346,6 +346,40 @@ def test_vectors_against_brute_force(spark, block, cell):
     assert embeddings.near_vectors(t.limit(0)).count() == 0
 
 
+def test_vectors_in_many_segments(spark):
+    """Cells that are near each other, a large group of near copies and pairs at the threshold, a few vectors a segment."""
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(60, 6))
+    x = np.concatenate([x[rnd.integers(0, 60, 700)] + rnd.normal(size=(700, 6)) * 0.15, x[0] + rnd.normal(size=(200, 6)) * 0.01])
+    for vectors, kind in ((x.astype(np.float32), "float"), (x, "double")):
+        t = spark.createDataFrame([(i, v, i % 2) for i, v in enumerate(vectors.tolist())], f"vec_id long, embedding array<{kind}>, label int")
+        got = {r.vec_id: r.n_links for r in embeddings.near_vectors(t, cell=15, block=32, segment=1500).collect()}
+        u = vectors.astype(np.float64)
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        links = (u @ u.T >= 0.98) & (np.arange(900)[:, None] % 2 == np.arange(900)[None, :] % 2)
+        assert [got[i] for i in range(900)] == (links.sum(axis=1) - 1).tolist()
+
+
+def test_vectors_are_written_once(spark, monkeypatch):
+    """However many cells are near a vector, the shared folder has no more than four times the vectors' bytes."""
+    from pathlib import Path
+
+    rnd = np.random.default_rng(5)
+    t = spark.createDataFrame([(i, v, 1) for i, v in enumerate(rnd.normal(size=(6000, 64)).tolist())], "vec_id long, embedding array<float>, label int")
+    shared, sizes = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")), []
+    used = lambda: sum(p.stat().st_size for p in shared.rglob("*") if p.is_file())
+    before, stored = used(), embeddings.stored
+
+    def counted(*args, **options):
+        out = stored(*args, **options)
+        sizes.append(used() - before)
+        return out
+
+    monkeypatch.setattr(embeddings, "stored", counted)
+    assert embeddings.near_vectors(t).count() == 6000
+    assert 6000 * 64 * 4 < max(sizes) < 4 * 6000 * 64 * 4
+
+
 def test_vectors_of_many_lengths(spark):
     rows = [(100 * n + k, [1.0 + 0.001 * k] + [0.5] * (n - 1), 1) for n in range(1, 30) for k in range(3)]
     t = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")

@@ -10,6 +10,7 @@ and multiplies what meets, in blocks. It emits a count for each row and the edge
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from math import sqrt
@@ -259,6 +260,12 @@ def _products(folder: str, shared, cosine: float, block: int, kind: type):
     return run
 
 
+def _collect_garbage(spark: SparkSession) -> None:
+    """Has the driver forget finished jobs, so that their shuffle files, copies of all vectors, are deleted."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @tidy
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, cell: int = CELL, cells: int = CELLS, block: int = BLOCK, segment: int = SEGMENT) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding, label; more are ignored).
@@ -284,19 +291,25 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPL
     classes = classes.withColumn("id", F.coalesce("least", F.xxhash64("label", "h1", "h2"))).withColumn("dim", F.size("embedding"))
     classes = stored(classes.withColumn("grp", F.xxhash64("label", "dim")), "vec-classes")
 
+    spark = vectors.sparkSession
+    _collect_garbage(spark)
+
     # One sample for vectors of all lengths; those of a length that isn't in it are one cell.
-    drawn = classes.orderBy("h1", "h2").limit(sample).select("dim", "embedding").collect()
+    # Each task sends its own least rows to the driver, so rows that can hardly be in the sample are left out before.
+    share = (2 * sample + 1000) / max(1, classes.count())
+    few = classes if share >= 1 else classes.where(F.col("h1") < int((share - 0.5) * 2**64))
+    drawn = few.orderBy("h1", "h2").limit(sample).select("dim", "embedding").collect()
     by: dict[int, list] = {}
     for r in drawn:
         by.setdefault(r["dim"], []).append(r["embedding"])
     most = classes.where(F.col("dim").isin(list(by))).groupBy("dim", "label").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()
     centroids = {r["dim"]: fit(np.array(by[r["dim"]]), max(1, min(cells, r["n"] // cell + 1, len(by[r["dim"]])))) for r in most}
-    spark = vectors.sparkSession
     shared = spark.sparkContext.broadcast(centroids)  # no more vectors than the sample has
     tasks, folder = int(spark.conf.get("spark.sql.shuffle.partitions")), work_path(spark, "vec-segments")
     assigned = classes.select("grp", "id", "copies", "embedding").mapInArrow(_assign(shared, cell, segment), _ASSIGNED)
     dealt = assigned.repartition(tasks, "grp", "part").sortWithinPartitions("grp", "cell")
     index = stored(dealt.mapInArrow(_write(folder, np.dtype(kind).itemsize, segment), _INDEX), "vec-index")
+    _collect_garbage(spark)
 
     one, two = (index.select("grp", "dim", *(F.col(c).alias(f"{c}{k}") for c in ("seg", "file", "at", "n"))) for k in "12")
     pairs = one.join(two.drop("dim"), "grp").where("seg1 <= seg2").drop("grp")
